@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import pii, urls
+import public_tokenizers
+
+from . import packing, pii, sharding, urls
 
 
 def _table(spark, sf_dir, name):
@@ -10,6 +12,8 @@ def _table(spark, sf_dir, name):
 
 
 QUERIES = {
+    "op1_packing": lambda s, d: packing.pack_documents(_table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "op2_sharding": lambda s, d: sharding.digest(_table(s, d, "documents")),
     "op8_pii": lambda s, d: pii.digest(_table(s, d, "documents")),
     "op9_url_filters": lambda s, d: urls.digest(_table(s, d, "pages")),
 }
