@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import packing, pii, sharding, urls
+from . import packing, pii, quality, sharding, urls
 
 
 def _table(spark, sf_dir, name):
@@ -14,6 +14,7 @@ def _table(spark, sf_dir, name):
 QUERIES = {
     "op1_packing": lambda s, d: packing.pack_documents(_table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op2_sharding": lambda s, d: sharding.digest(_table(s, d, "documents")),
+    "op6_quality_rules": lambda s, d: quality.digest(_table(s, d, "documents"), _table(s, d, "labels")),
     "op8_pii": lambda s, d: pii.digest(_table(s, d, "documents")),
     "op9_url_filters": lambda s, d: urls.digest(_table(s, d, "pages")),
 }
