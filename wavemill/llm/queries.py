@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import packing, pii, quality, sharding, urls
+from . import html, packing, pii, quality, sharding, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -14,7 +14,9 @@ def _table(spark, sf_dir, name):
 QUERIES = {
     "op1_packing": lambda s, d: packing.pack_documents(_table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op2_sharding": lambda s, d: sharding.digest(_table(s, d, "documents")),
+    "op4_toxicity": lambda s, d: toxicity.digest(_table(s, d, "documents"), _table(s, d, "labels")),
     "op6_quality_rules": lambda s, d: quality.digest(_table(s, d, "documents"), _table(s, d, "labels")),
+    "op7_html_extraction": lambda s, d: html.digest(_table(s, d, "pages")),
     "op8_pii": lambda s, d: pii.digest(_table(s, d, "documents")),
     "op9_url_filters": lambda s, d: urls.digest(_table(s, d, "pages")),
 }
