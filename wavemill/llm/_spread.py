@@ -47,12 +47,12 @@ def numbered(df: DataFrame, group: list[str], key: list[str], out: str, rows: in
     return df.withColumn("_rank", inside).join(base, [*group, "_bucket"]).withColumn(out, (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_base")
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int, share: int = 500) -> DataFrame:
-    """Keys with over 1/``share`` of all rows, hence fewer than ``share`` of them, and the salts each needs."""
-    return counts.where(F.col(n) * share > total).select(key, F.ceil(F.col(n) * share / F.lit(max(1, total))).cast("int").alias("_salts"))
+def hot_keys(counts: DataFrame, key: list[str], n: str, total: int, share: int = 500) -> DataFrame:
+    """Keys with over 1/``share`` of ``total`` rows, hence fewer than ``share`` of them, and the salts each needs."""
+    return counts.where(F.col(n) * share > total).select(*key, F.ceil(F.col(n) * share / F.lit(max(1, total))).cast("int").alias("_salts"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, salt_on: Column, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame, salt_on: Column, how: str = "inner") -> DataFrame:
     """Joins many left rows to the one right row of their key; hot keys are dealt over salts.
 
     ``hot`` is bounded (see hot_keys), so it is broadcast to both sides.
@@ -60,4 +60,4 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, sal
     hot = F.broadcast(hot)
     left = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     right = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*key, "_salt"], how).drop("_salt")

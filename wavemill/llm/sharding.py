@@ -96,7 +96,7 @@ def shard_groups(rows: DataFrame, group: str, size: str, key: list[str], shards:
     ranked = numbered(groups, ["_class"], ["_group"], "_at", sum(n for *_, n in classes))
     inside = (F.col("_class") == F.col("_in")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_many"))
     home = ranked.join(F.broadcast(places), inside).select("_group", "shard")
-    placed = salted_join(rows, home, "_group", hot_keys(groups, "_group", "_n", total), F.struct(*key))
+    placed = salted_join(rows, home, ["_group"], hot_keys(groups, ["_group"], "_n", total), F.struct(*key))
     return numbered(written(placed.drop("_group"), "placed"), ["shard"], key, "slot", total)
 
 
