@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import html, packing, pii, quality, sharding, substring, toxicity, urls
+from . import html, neardup, packing, pii, quality, sharding, substring, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -14,6 +14,7 @@ def _table(spark, sf_dir, name):
 QUERIES = {
     "op1_packing": lambda s, d: packing.pack_documents(_table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op2_sharding": lambda s, d: sharding.digest(_table(s, d, "documents")),
+    "op3_neardup": lambda s, d: neardup.near_duplicates(_table(s, d, "documents")),
     "op4_toxicity": lambda s, d: toxicity.digest(_table(s, d, "documents"), _table(s, d, "labels")),
     "op5_substring_dedup": lambda s, d: substring.digest(_table(s, d, "documents")),
     "op6_quality_rules": lambda s, d: quality.digest(_table(s, d, "documents"), _table(s, d, "labels")),
