@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import html, neardup, packing, pii, quality, sharding, substring, toxicity, urls
+from . import decontam, html, neardup, packing, pii, quality, sharding, substring, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +21,7 @@ QUERIES = {
     "op7_html_extraction": lambda s, d: html.digest(_table(s, d, "pages")),
     "op8_pii": lambda s, d: pii.digest(_table(s, d, "documents")),
     "op9_url_filters": lambda s, d: urls.digest(_table(s, d, "pages")),
+    "op10_decontamination": lambda s, d: decontam.digest(_table(s, d, "documents"), _table(s, d, "benchmark")),
 }
 
 SQL = {"op9_url_filters": urls.SQL}
