@@ -54,7 +54,9 @@ def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
 class Words:
     """data: bytes; off: of each text, and the end; start, end: of each word; doc: its text; first: each text's first word, and the end."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, kind: np.ndarray | None = None):
+        """``kind``: a number for each byte; between bytes of kinds 1 and 2, either way round, a word also ends."""
+        self.kind = kind
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
@@ -66,6 +68,11 @@ class Words:
         starts, ends = inked.copy(), inked.copy()
         starts[1:] &= ~inked[:-1] | edge[1:n]
         ends[:-1] &= ~inked[1:] | edge[1:n]
+        if kind is not None and n:
+            k = kind[self.data]
+            inner = (k[:-1] + k[1:] == 3) & (k[:-1] * k[1:] == 2)
+            starts[1:] |= inner
+            ends[:-1] |= inner
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.off)

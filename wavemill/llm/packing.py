@@ -18,14 +18,22 @@ SEQUENCE = 4096
 END_ID = 1
 _MARK = "\x02"  # put between words that are encoded together; words that hold it are encoded alone
 _MOST_WORDS = 2_000_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: ASCII letters 1, marks but the apostrophe 2: the tokenizer's splitter always parts these two.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
 _COLUMNS = "length long, rank_from long, n long, first_sequence long, per_sequence long, first_offset long"
 
 
 class _Encoder:
     """Ids of white-space separated words, kept by 64-bit hash in sorted arrays (26 bytes a word or so).
 
-    The tokenizer's normaliser and splitter never join what white space parts, so a text's ids are
-    those of its words in turn. At _MOST_WORDS the store starts anew, which bounds memory.
+    The tokenizer's normaliser and splitter never join what white space parts, nor a letter and a mark, and it
+    lower-cases, so a text's ids are those of its lower-cased words and marks in turn. Texts with
+    a special token's own characters are left whole between white space. At _MOST_WORDS the store starts anew, which
+    bounds memory.
     """
 
     def __init__(self, path: str):
@@ -33,6 +41,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         mark = self._alone(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
@@ -59,8 +68,10 @@ class _Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, END_ID after each, and how many each has."""
-        w = Words(texts)
-        seen, one, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        w = Words(texts, _KIND)
+        if any(x in w.data.tobytes() for x in self.special):
+            w = Words(texts)
+        seen, one, inverse = np.unique(w.hashes(None if w.kind is None else _LOWER), return_index=True, return_inverse=True)
         if len(self.keys) + len(seen) > _MOST_WORDS:
             self._clear()
         at = np.searchsorted(self.keys, seen)
