@@ -1,4 +1,61 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences, a stage at a time.
+
+Each stage reads all that the one before kept and returns the columns of documents; the last one returns
+the pieces of packed sequences. SQL can't express the stages (trees, MinHash, latent search, checksums,
+a tokenizer), so tests hold them against brute force on small tables.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavemill.llm import decontam, neardup, packing, pii, quality
+from wavemill.llm._spread import written
 
-STAGES = []
 ORACLE_SQL = None
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; null and empty texts are among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(docs, quality.fit(docs, labels)).where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id stays; rows without a doc_id stay."""
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.find_leaks(docs, decontam.fit(docs, items), out="_leaks").where(F.size("_leaks") == 0).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become ``<KIND>``; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and offset: see packing.pack_documents."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
