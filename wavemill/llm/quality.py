@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     keeps what passes the base rules.
     """
     some = labels.select("doc_id", F.col(label).alias("_y")).where("doc_id is not null and _y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("m", _measured(None)(F.col("text"))).select("_y", *(F.col(f"m.{f}") for f in FEATURES)).orderBy("_y", *FEATURES).limit(2 * sample).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("m", _measured(None)(F.col("text"))).select("_y", *(F.col(f"m.{f}") for f in FEATURES)).orderBy("_y", *FEATURES).limit(2 * sample).toArrow().to_pandas()
     x, y = rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         x, y = x[:0], y[:0]

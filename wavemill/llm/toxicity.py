@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not n or n1 in (0, n):
         return {"weights": {}, "bias": -700.0, "floor": n1 / n if n else 0.0}
-    per = rows.select("_y", F.explode(F.arrow_udf(_all_features, T.ArrayType(T.IntegerType()))(F.col("text"))).alias("f")).groupBy("f").agg(F.count("*").alias("c"), F.sum("_y").alias("c1")).where("c >= 3").toPandas()
+    per = rows.select("_y", F.explode(F.arrow_udf(_all_features, T.ArrayType(T.IntegerType()))(F.col("text"))).alias("f")).groupBy("f").agg(F.count("*").alias("c"), F.sum("_y").alias("c1")).where("c >= 3").toArrow().to_pandas()
     p = n1 / n
     gap = (per["c1"] - p * per["c"]) / np.sqrt(p * (1 - p) * per["c"])
     per, gap = per[gap.abs() >= LEAST_GAP], gap[gap.abs() >= LEAST_GAP]
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             out.append([x for x in parts if x] + [[len(parts) - sum(map(bool, parts))]])  # last: how many have none
         return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
-    found = rows.select("_y", F.arrow_udf(bag, T.ArrayType(T.ArrayType(T.IntegerType())))(F.col("text")).alias("b")).toPandas()
+    found = rows.select("_y", F.arrow_udf(bag, T.ArrayType(T.ArrayType(T.IntegerType())))(F.col("text")).alias("b")).toArrow().to_pandas()
     bags = [[np.asarray(s, np.int64) for s in b[:-1]] for b in found["b"]]
     w, bias = train(bags, np.array([b[-1][0] for b in found["b"]], float), found["_y"].to_numpy(float), len(chosen))
     return {"weights": {int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, "bias": bias, "floor": 0.0}
