@@ -56,7 +56,7 @@ def measure(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, fresh = _repeated(mix(h + w.doc.astype(U) * U(0x9E3779B97F4A7C15)))
     # lines: from each text's start or the byte after \n, up to \n or the text's end; those with a word count
     cut = np.flatnonzero(w.data == 10)
-    start = np.sort(np.concatenate([w.off[:-1], cut + 1]))
+    start = np.unique(np.concatenate([w.off[:-1], cut + 1]))  # an empty text starts where the next one does
     line_doc = np.searchsorted(w.off, start, "right") - 1
     keep = line_doc < docs
     start, line_doc = start[keep], line_doc[keep]

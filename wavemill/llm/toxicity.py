@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rows = written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "labelled")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not n or n1 in (0, n):
-        return {"weights": {}, "bias": -700.0, "floor": n1 / n if n else 0.0}
+        return {"weights": {}, "bias": -np.inf, "floor": n1 / n if n else 0.0}
     per = rows.select("_y", F.explode(F.arrow_udf(_all_features, T.ArrayType(T.IntegerType()))(F.col("text"))).alias("f")).groupBy("f").agg(F.count("*").alias("c"), F.sum("_y").alias("c1")).where("c >= 3").toArrow().to_pandas()
     p = n1 / n
     gap = (per["c1"] - p * per["c"]) / np.sqrt(p * (1 - p) * per["c"])
