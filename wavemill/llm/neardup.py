@@ -236,3 +236,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = salted_join(sketched.where("n_shingles > 0").drop("bands"), home.drop("copies"), ["k1", "k2"], hot_keys(home, ["k1", "k2"], "copies", sketched.count()), F.struct("doc_id"))
     none = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.select("doc_id", "n_shingles", "component_id").union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same in DuckDB.
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, md5(array_to_string(ws[i:i + 4], ' ')) as h from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.h = y.h and x.doc_id <> y.doc_id group by all) p
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+reach(a, b) as (select doc_id, doc_id from w union select r.a, e.b from reach r join e on e.a = r.b),
+least_ as (select a, min(b) as b from reach group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, b as component_id, w.doc_id = b as kept
+from w left join n using (doc_id) join least_ on a = w.doc_id
+"""

@@ -24,4 +24,4 @@ QUERIES = {
     "op10_decontamination": lambda s, d: decontam.digest(_table(s, d, "documents"), _table(s, d, "benchmark")),
 }
 
-SQL = {"op9_url_filters": urls.SQL}
+SQL = {"op3_neardup": neardup.SQL, "op5_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL}

@@ -199,3 +199,17 @@ def digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
     )
     result = written(result, "results")
     return salted_join(indexed, result.drop("copies"), KEY, hot_keys(result, KEY, "copies", indexed.count()), F.struct("doc_id")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: The same in DuckDB, for LENGTH words.
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+windows as (select doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35)),
+twice as (select h from windows group by h having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as p from windows where h in (select h from twice)),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+kept as (select doc_id, array_to_string(list(word order by p), ' ') as text from words anti join gone using (doc_id, p) group by doc_id),
+n as (select doc_id, count(*) as n_removed from gone group by doc_id)
+select w.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join n using (doc_id) left join kept using (doc_id)
+"""
