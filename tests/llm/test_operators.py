@@ -243,6 +243,8 @@ def test_html():
     assert html.main_text(page) == "Head & line\nOne bold word\nTwo lines\n3 < 4"
     text = "A long enough paragraph of text that tells a story without any links, so that its window surges over the limit."
     assert html.main_text(f"<div><a href=x>home</a> <a href=y>news</a></div><div>{text}</div><div>{text}</div><div><a href=z>more of this</a></div>") == f"{text}\n{text}"
+    parts = "<div class=menu>a b c</div><div class='post-content'><h1>H</h1><p>Short.</p><div class='share'>share it</div></div><div class=sidebar>" + text + "</div>"
+    assert html.main_text(parts) == "H\nShort."
     assert [html.main_text(x) for x in (None, "", "<p>", "<<<>>> &", "<nav>only</nav>")][:3] == ["", "", ""]
     assert html.main_text("<article>" + "<p>x</p>" * 5000 + "</article>") == "\n".join(["x"] * 5000)
 

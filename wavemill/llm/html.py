@@ -39,6 +39,8 @@ def _kind(tag: str, attrs: str, inside: bool) -> str:
         return "aside" if words & {"comment", "comments", "reply"} or "hidden" in found else "main"
     if tag in _ASIDE_TAGS and not (tag == "header" and inside) or role in _ASIDE_ROLES or words & _ASIDE_WORDS:
         return "aside"
+    if words & {"article", "story", "entry"} or words >= {"main", "content"} or words >= {"post", "content"} or words >= {"post", "body"}:
+        return "main"
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return "aside"
     return ""
