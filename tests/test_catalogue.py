@@ -143,3 +143,15 @@ def test_envelopes(spark):
 def test_sample_is_stable(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert [r.k for r in paging.sample(df, "k", 3).collect()] == [r.k for r in paging.sample(df.repartition(7), "k", 3).collect()]
+
+
+def test_pages_limit_groups_before_the_shuffle(spark):
+    df = spark.range(100).selectExpr("id % 7 as g", "id as i")
+    for out in (paging.pages(df, ["g"], ["i"], F.col("g") % 3 + 1, 3), paging.tail_pages(df, ["g"], ["i"], F.lit(2), 3), paging.first(df, ["g"], ["i"])):
+        assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_join_has_no_nested_loop(spark):
+    r, c = spark.createDataFrame([(1, "ab")], "request_id long, q string"), spark.createDataFrame([(1, "cab")], "id long, title string")
+    plan = search.search_join(r, c)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
