@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spread import hot_keys, salted_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path).
@@ -104,7 +106,8 @@ def filter_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES)
     site or a parent domain is in ``listed`` (column ``key``), else allowed. Null URLs and those
     without ``://`` have an empty host and path, fit no rule and are allowed. Rows that repeat
     stay; the four columns replace ones of their names. Lookups run over distinct hosts
-    and distinct URLs, so one host with a third of all rows is looked up once.
+    and distinct URLs, so one host with a third of all rows is looked up once; what is found goes back to the rows by
+    joins that deal hot hosts and hot URLs over salts.
     """
     df = df.drop("url_host", "url_path", "rule", "verdict").withColumns({"url_host": host(F.col(url)), "url_path": path(F.col(url))})
     listed = listed.select("key").where("key is not null").distinct()
@@ -115,7 +118,12 @@ def filter_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES)
     page = found.where("url_path is not null").select("url_host", "url_path").distinct().withColumn("_page", F.lit(True))
     ruled = rule_for(F.col("url_host"), F.col("url_path"), rules)
     method = F.when(F.coalesce("_site", "_page", F.lit(False)), "block").otherwise("allow")
-    out = df.join(site, "url_host", "left").join(page, ["url_host", "url_path"], "left").withColumn("_ruled", ruled)
+    of_page = df.groupBy("url_host", "url_path").count()
+    of_host = of_page.groupBy("url_host").agg(F.sum("count").alias("count"))
+    total = df.count()
+    out = salted_join(df, site, ["url_host"], hot_keys(of_host, ["url_host"], "count", total), F.struct(url), "left")
+    out = salted_join(out, page, ["url_host", "url_path"], hot_keys(of_page, ["url_host", "url_path"], "count", total), F.monotonically_increasing_id(), "left")
+    out = out.withColumn("_ruled", ruled)
     return out.withColumns({"rule": F.col("_ruled.rule"), "verdict": F.coalesce("_ruled.verdict", method)}).drop("_ruled", "_site", "_page")
 
 
