@@ -32,7 +32,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        m = 1 << max(20, int(n).bit_length())
+        m = max(n, (1 << 20) + (1 << 18))
         for name, base in (("up", _MULT), ("down", _MULT_INV)):
             x = np.full(m, base, U)
             x[0] = 1

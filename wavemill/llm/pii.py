@@ -121,29 +121,23 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii_spans", least_
     return df.withColumn(out, F.filter(_find(F.col(text)), keep))
 
 
-@F.arrow_udf(T.StringType())
-def _redact(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, found in zip(texts, spans, strict=True):
-        t, found = t.as_py(), found.as_py()
-        if t is None or not found:
-            out.append(t)
-            continue
-        done, parts = 0, []
-        for s in found:
-            if s["start"] >= done:
-                parts += [t[done : s["start"]], f"<{s['kind'].upper()}>"]
-            done = max(done, s["end"])
-        out.append("".join([*parts, t[done:]]))
-    return pa.array(out, pa.string())
-
-
-def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
+def redacted(text: str | None, least_extra: float = 0.5) -> str | None:
+    done, parts = 0, []
+    for kind, start, end, score in spans_of(text):
+        if kind in KINDS[:4] or score >= least_extra:
+            if start >= done:
+                parts += [text[done:start], f"<{kind.upper()}>"]
+            done = max(done, end)
+    return "".join([*parts, text[done:]]) if parts else text
+
+
+def redact(df: DataFrame, text: str = "text", least_extra: float = 0.5) -> DataFrame:
     """``df`` with each span replaced by ``<KIND>``; of spans that overlap the first names the place.
 
     Null texts stay null and texts without spans stay as they are.
     """
-    return find_spans(df, text, "_pii", **options).withColumn(text, _redact(F.col(text), F.col("_pii"))).drop("_pii")
+    run = F.arrow_udf(lambda texts: pa.array([redacted(t.as_py(), least_extra) for t in texts], pa.string()), T.StringType())
+    return df.withColumn(text, run(F.col(text)))
 
 
 def written_out(spans: Column) -> Column:
