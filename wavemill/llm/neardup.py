@@ -171,29 +171,42 @@ def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
     plus what A and B share outside C, and a link needs 3/7 of |A| + |B|. A pair in different components has
     at least one that isn't linked with C. So it shares a shingle outside C that stands in
     more than one component (lists by hub and shingle), or one of them is smaller than C
-    and both have nearly all in C. Lists with the same members count once. These are conditions that any link meets:
+    and both have nearly all in C. Lists with the same members count once. A pair that meets under several hubs is sought under
+    one where it can: the nearest hub of the one or else of the other. These are conditions that any link meets:
     no pair that could be one is left out.
     """
+    mine = found.groupBy("a").agg(F.collect_set("b").alias("hubs"), F.max_by("b", F.struct("inter", -F.col("b"))).alias("near"))
     of = labels.select(F.col("uid"), "label")
     m = found.join(of.select(F.col("uid").alias("a"), F.col("label").alias("_la")), "a", "left").join(of.select(F.col("uid").alias("b"), F.col("label").alias("_lb")), "b", "left")
     m = m.withColumns({"la": F.coalesce("_la", "a"), "lb": F.coalesce("_lb", "b")})
     mixed = m.groupBy("b").agg(F.min(F.least("la", "lb")).alias("lo"), F.max(F.greatest("la", "lb")).alias("hi"), F.min("na").alias("least_n")).where("lo <> hi").select("b", "least_n")
-    m = written(m.join(mixed, "b").select("a", F.col("b").alias("hub"), "la", "na", "nb", "inter", "rest", "least_n", (~_is_link()).alias("out")), "members")
+    m = written(m.join(mixed, "b").join(mine, "a").select("a", F.col("b").alias("hub"), "la", "na", "nb", "inter", "rest", "least_n", "hubs", "near", (~_is_link()).alias("out")), "members")
+
+    def here(b: str):
+        """Whether a pair is sought under this hub; hubs of a member are BANDS at most."""
+        swap = F.col("a") > F.col(b)
+        one, other = F.when(swap, F.col("hubs_b")).otherwise(F.col("hubs")), F.when(swap, F.col("hubs")).otherwise(F.col("hubs_b"))
+        first_near, second_near = F.when(swap, F.col("near_b")).otherwise(F.col("near")), F.when(swap, F.col("near")).otherwise(F.col("near_b"))
+        second, first_ = F.greatest("a", b), F.least("a", b)
+        under_first = F.array_contains(other, first_near) | (second == first_near)
+        under_second = F.array_contains(one, second_near) | (first_ == second_near)
+        return F.when(under_first, F.col("hub") == first_near).when(under_second, F.col("hub") == second_near).otherwise(True)
+
     posts = m.select("hub", "a", "la", F.explode("rest").alias("s"))
     lists = posts.groupBy("hub", "s").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("a")).alias("h")).where("lo <> hi").select("hub", "s", "c", "h")
     lead = lists.groupBy("hub", "c", "h").agg(F.min("s").alias("s")).select("hub", "s", F.lit(True).alias("lead"))
     lists = written(lists.select("hub", "s").join(lead, ["hub", "s"], "left"), "lists")
     inside = written(posts.join(lists, ["hub", "s"]).select("hub", "s", "a", "lead"), "postings")
     able = inside.groupBy("hub", "a").agg(F.count("*").alias("g")).join(m.drop("rest"), ["hub", "a"]).where("4 * (inter + g) >= 3 * na")
-    x = written(inside.where("lead").select("hub", "s", "a").join(able.select("hub", "a", "la", "na", "inter", "g", "out"), ["hub", "a"]), "able")
-    y = x.select("hub", "s", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("inter").alias("ib"), F.col("g").alias("gb"))
+    x = written(inside.where("lead").select("hub", "s", "a").join(able.select("hub", "a", "la", "na", "inter", "g", "out", "hubs", "near"), ["hub", "a"]), "able")
+    y = x.select("hub", "s", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("inter").alias("ib"), F.col("g").alias("gb"), F.col("hubs").alias("hubs_b"), F.col("near").alias("near_b"))
     fits = (F.col("la") != F.col("lb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
     share = 7 * (F.least("inter", "ib") + F.least("g", "gb")) >= 3 * (F.col("na") + F.col("nb"))
-    first = x.where("out").join(y, ["hub", "s"]).where(fits & share).select("a", "b")
-    small = m.where("na < nb").select("hub", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("n2"), F.col("inter").alias("ib"))
-    wide = m.where("out and 7 * inter - 3 * na >= 3 * least_n").select("hub", "a", "la", "na", "inter")
+    first = x.where("out").join(y, ["hub", "s"]).where(fits & share & here("b")).select("a", "b")
+    small = m.where("na < nb").select("hub", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("n2"), F.col("inter").alias("ib"), F.col("hubs").alias("hubs_b"), F.col("near").alias("near_b"))
+    wide = m.where("out and 7 * inter - 3 * na >= 3 * least_n").select("hub", "a", "la", "na", "inter", "hubs", "near")
     fits2 = (F.col("la") != F.col("lb")) & (7 * F.least("inter", "ib") >= 3 * (F.col("na") + F.col("n2"))) & (4 * F.least("na", "n2") >= 3 * F.greatest("na", "n2"))
-    second = wide.join(small, "hub").where(fits2).select("a", "b")
+    second = wide.join(small, "hub").where(fits2 & here("b")).select("a", "b")
     pairs = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(tested, ["a", "b"], "left_anti")
