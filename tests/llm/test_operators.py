@@ -249,6 +249,19 @@ def test_html():
     assert html.main_text("<article>" + "<p>x</p>" * 5000 + "</article>") == "\n".join(["x"] * 5000)
 
 
+def test_html_surge_and_dive():
+    text = "A long enough paragraph of text that tells a story without any links, so that its window surges over the limit."
+    div = lambda *x: "".join(f"<div>{y}</div>" for y in x)
+    plain = div("Title", "By Jo", "<b>3 May</b>", text, text, "<a href=x>a source in full</a>", text)
+    want = f"Title\nBy Jo\n3 May\n{text}\n{text}\na source in full\n{text}"
+    menu, more = div("<a href=x>home</a>", "<a href=y>news</a>"), div("<a href=z>more of this</a>")
+    assert html.main_text(menu + plain + more) == want
+    assert html.main_text(f"{menu}<article>{plain}</article>{div('Short remark')}{more}") == want
+    assert html.main_text(f"<article class=card>Teaser</article>{menu}{plain}{more}") == "Teaser\n" + want
+    assert html.main_text(f"<main> </main>{menu}{plain}") == want
+    assert html.main_text(menu + plain + "<div class=ad>x</div>" * 4 + div("The end.")) == want + "\nThe end."
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article>é</article>", "t", 5), (2, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
     assert sorted(rows(html.digest(df))) == [(1, "u", "é", 1), (2, None, "", 0)]

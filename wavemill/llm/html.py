@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ _ASIDE_WORDS = frozenset(
 _MAIN_ROLES, _MAIN_TAGS = frozenset({"main", "article"}), frozenset({"article", "main"})
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-#: Lines in a window; characters that a window needs to surge on a page that marks no article.
+#: Lines in a window; characters that a window needs to surge outside what the page marks as article.
 WINDOW, SURGE = 3, 86
 
 
@@ -114,26 +115,44 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
     return lines, marked
 
 
+def _between(weight: list[int], sums: list[int], least: float) -> list[int]:
+    """Places of the lines from each surge to its dive, with the weighty lines right before a surge; both ends weigh something."""
+    kept: list[int] = []
+    i = 0
+    while i < len(weight):
+        if sums[i] <= least:
+            i += 1
+            continue
+        first = i
+        while first > (kept[-1] + 1 if kept else 0) and weight[first - 1]:
+            first -= 1
+        while not weight[first]:
+            first += 1
+        while i < len(weight) and sums[i]:
+            i += 1
+        kept += range(first, i)
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The text between surge and dive points, lines joined by one newline.
 
-    A line's weight is its length without links; lines of asides weigh nothing, and where the page marks an
-    article or main part, so do lines outside it. Weights are summed over windows of WINDOW lines.
-    Text begins where a window surges over the threshold and ends before the first window
-    without weight; a marked part surges with any text.
+    Lines of asides are left out first. A line's weight is its length without links (in a part that is marked as
+    article or main, its length), summed over windows of WINDOW lines that don't cross the border of such a part.
+    Text begins where a window surges over the threshold, or with the weighty lines right before it, and ends before
+    the first window without weight; between them every line stays, whatever its share of links. A marked part surges
+    with any text and is kept whole. Elsewhere the threshold is SURGE or half the page's largest window: the lesser of
+    them on a page without marked text, the greater on one with it.
     """
     if not html:
         return ""
-    lines, marked = lines_of(html)
-    weight = [0 if off or marked and not inside else len(text) if marked else max(0, len(text) - 2 * links) for text, off, inside, links in lines]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    least = 0 if marked else min(SURGE, max(sums, default=0) / 2)
-    kept, on = [], False
-    for i, (text, *_) in enumerate(lines):
-        on = sums[i] > 0 if on else sums[i] > least
-        if on and weight[i]:
-            kept.append(text)
-    return "\n".join(kept)
+    lines = [(text, inside, links) for text, off, inside, links in lines_of(html)[0] if not off]
+    parts = [list(part) for _, part in groupby(lines, key=lambda line: line[1])]
+    weights = [[len(text) if inside else max(0, len(text) - 2 * links) for text, inside, links in part] for part in parts]
+    sums = [[sum(weight[i : i + WINDOW]) for i in range(len(weight))] for weight in weights]
+    bounds = SURGE, max(map(max, sums), default=0) / 2
+    least = max(bounds) if any(inside for _, inside, _ in lines) else min(bounds)
+    return "\n".join(part[i][0] for part, weight, near in zip(parts, weights, sums, strict=True) for i in (range(len(part)) if part[0][1] else _between(weight, near, least)))
 
 
 @F.arrow_udf(T.StringType())
