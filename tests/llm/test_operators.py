@@ -307,6 +307,17 @@ def test_pii(docs, none):
     assert pii.digest(none).count() == 0
 
 
+def test_spans_that_a_greedy_run_or_a_gate_would_hide():
+    found = lambda x: [(k, x[a:b]) for k, a, b, _ in pii.spans_of(x) if k in ("iban", "secret")]
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for text in (de, f"{de} I said", f"{de} 2024", f"{de} BIC x", f"AB12 {de} OK", f"{de} A VERY LONG CRY IN CAPITALS WITHOUT END"):
+        assert found(text) == [("iban", de)], text
+    assert found(f"{de} {gb} {de}") == [("iban", de), ("iban", gb), ("iban", de)]
+    assert found(f"x{de}") == found(f"{de}x") == found(de[:-1]) == found("DE88" + de[4:]) == []
+    assert found("password = correcthorsebatterystaple") == [("secret", "correcthorsebatterystaple")]
+    assert pii.redacted(f"password: correcthorsebatterystaple, to {de} NOW") == "password: <SECRET>, to <IBAN> NOW"
+
+
 # URLs
 
 

@@ -18,7 +18,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match can't begin inside a run of digits: the run's start would match too
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_PART = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")  # the last character of a group
 _SECRET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{16,})")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -67,6 +68,19 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """At each possible start the longest run of whole groups that mod-97 confirms; the search goes on behind it, or behind the start."""
+    found, at = [], 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        for end in range(m.end(), start + 14, -1):
+            if _PART.match(text, end - 1) and len(iban := text[start:end].replace(" ", "")) >= 15 and mod97(iban):
+                found.append((start, end))
+                at = end
+                break
+    return found
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
     """Spans (kind, start, end, score) by start, then kind; code points, end exclusive."""
     if not text:
@@ -85,9 +99,8 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
             for m in _PHONE.finditer(text):
                 if 10 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
                     found.append(("phone", m.start(), m.end()))
-        for m in _IBAN.finditer(text):
-            if mod97(m.group().replace(" ", "")):
-                found.append(("iban", m.start(), m.end()))
+        found += [("iban", a, b) for a, b in ibans(text)]
+    if "=" in text or ":" in text:
         found += [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
     out = []
     for kind, a, b in found:
