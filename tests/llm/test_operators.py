@@ -363,6 +363,13 @@ def test_leaks(spark, docs, none):
     assert decontam.digest(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_of_items_with_a_repeated_id_or_none(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    bench = spark.createDataFrame([(1, a), (1, b), (None, c), (1, a)], "item_id long, text string")
+    texts = spark.createDataFrame([(0, f"one {a} end"), (1, f"one {b} end"), (2, c), (3, f"{a} {b}"), (4, "one end")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.digest(texts, bench).collect()) == [(0, 1), (1, 1), (2, None), (3, 1), (3, 1)]
+
+
 def test_latent_space_is_that_of_the_exact_decomposition(spark):
     rand = np.random.default_rng(1)
     a = rand.random((40, 12)) @ rand.random((12, 30))
