@@ -370,6 +370,24 @@ def test_leaks_of_items_with_a_repeated_id_or_none(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontam.digest(texts, bench).collect()) == [(0, 1), (1, 1), (2, None), (3, 1), (3, 1)]
 
 
+def test_leaks_in_part_paraphrased_and_with_a_short_answer(spark):
+    import random
+
+    rand = random.Random(4)
+    word = lambda: "".join(rand.choice("klmnopqrst") for _ in range(5))
+    noise = lambda n: [word() for _ in range(n)]
+    items = [noise(100) for _ in range(20)] + [noise(40) for _ in range(20)]
+    asked = [[*noise(20), "so?", word()] for _ in range(10)]
+    bench = [(i, " ".join(x)) for i, x in enumerate([*items, *asked])]
+    quoted = [(i, [*noise(30 + i), *x[33 + i : 57 + i], *noise(40)]) for i, x in enumerate(items[:20])]
+    changed = [(20 + i, [*noise(33 + i), *(w if j * 5 % 8 < 5 else word() for j, w in enumerate(x)), *noise(40)]) for i, x in enumerate(items[20:])]
+    short = [(40 + i, [*noise(30 + i), *(w if j % 2 or j > 19 else word() for j, w in enumerate(x)), *noise(40)]) for i, x in enumerate(asked)]
+    none = [(100 + i, [*noise(40), *x[:9], *noise(40)]) for i, x in enumerate(items)]
+    texts = spark.createDataFrame([(i, " ".join(x)) for i, x in [*quoted, *changed, *short, *none]], "doc_id long, text string")
+    got = decontam.digest(texts, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(50)]
+
+
 def test_latent_space_is_that_of_the_exact_decomposition(spark):
     rand = np.random.default_rng(1)
     a = rand.random((40, 12)) @ rand.random((12, 30))
