@@ -257,11 +257,50 @@ def test_html_surge_and_dive():
     menu, more = div("<a href=x>home</a>", "<a href=y>news</a>"), div("<a href=z>more of this</a>")
     assert html.main_text(menu + plain + more) == want
     assert html.main_text(f"{menu}<article>{plain}</article>{div('Short remark')}{more}") == want
-    assert html.main_text(f"<article class=card>Teaser</article>{menu}{plain}{more}") == "Teaser\n" + want
+    assert html.main_text(f"<article class=card>Teaser</article>{menu}{plain}{more}") == want  # marked, but too short to surge
     assert html.main_text(f"<main> </main>{menu}{plain}") == want
     assert html.main_text(menu + plain + "<div class=ad>x</div>" * 4 + div("The end.")) == want + "\nThe end."
 
 
+@given(st.lists(st.tuples(st.integers(0, 60), st.booleans(), st.booleans()), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_line_blocks_by_brute_force(given_):
+    lines = [("x" * n, inside, n * link) for n, inside, link in given_]
+    weigh = lambda line: html.MARKED * len(line[0]) if line[1] else max(0, len(line[0]) - 2 * line[2])
+    side = [0] + [sum(a[1] != b[1] for a, b in zip(lines[:i], lines[1 : i + 1], strict=False)) for i in range(1, len(lines))]
+    weight = [weigh(x) for x in lines]
+    window = [sum(weight[j] for j in range(i, min(i + 3, len(lines))) if side[j] == side[i]) for i in range(len(lines))]
+    least, most = sorted((html.SURGE, max(window, default=0) / 2))
+    want = set()
+    for i, x in enumerate(lines):
+        if window[i] > (most if any(y[1] for y in lines) and not x[1] else least):
+            first, end = i, i
+            while first and side[first - 1] == side[i] and weight[first - 1]:
+                first -= 1
+            while not weight[first]:
+                first += 1
+            while end < len(lines) and side[end] == side[i] and window[end]:
+                end += 1
+            want |= set(range(first, end))
+    assert html.kept_lines(lines) == sorted(want)
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    n = 1 << 20
+    pages = ["<a " * (n // 3), '<a "x" ' * (n // 7), '<a "x>" ' * (n // 8), "<a<a" * (n // 4), "<" * n, "<!" * (n // 2), "<!--" * (n // 4), "<div>" * (n // 10) + "</section>" * (n // 20)]
+    pages += ["<li><div>" + "<form>" * (n // 12) + "</li>" * (n // 12), "<div>" * (n // 12) + "</b>" * (n // 12), "<a " + "a= " * (n // 3) + ">", "<a b='" * (n // 6) + ">", "<script>" * (n // 8), "<p>x" * (n // 4)]
+    began = time.process_time()
+    html.main_text(pages[0])
+    assert time.process_time() - began < 1
+    for page in pages[1:]:
+        html.main_text(page)
+    assert time.process_time() - began < 60
+    assert html.main_text("<p>x" * 3) == "x\nx\nx" and html.main_text("<p>a&#" + "9" * 5000 + ";b&#" + "0" * 5000 + "65;</p><!-- c") == "a\ufffdbA"
+    assert html.main_text('<p>one<p class="a>two<p>three</p>') == "one\ntwo\nthree"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article>é</article>", "t", 5), (2, None, None, None, None)], "page_id long, url string, html string, text string, n_chars long")
     assert sorted(rows(html.digest(df))) == [(1, "u", "é", 1), (2, None, "", 0)]

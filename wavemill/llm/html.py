@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 from itertools import groupby
 
@@ -11,9 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S | re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_UNSEEN = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg textarea title".split()}
+_ZEROS, _HUGE = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 _BLOCKS = frozenset("html head body p div section article main aside header footer nav form ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption hr address fieldset legend details summary dialog menu center".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+_FENCES = frozenset("div article section main ul ol table body".split())
 _ONE_DEEP = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 #: Tags, roles, and words of a class or id that mark what isn't the article.
 _ASIDE_TAGS = frozenset("head nav footer aside form header button select iframe object dialog menu label fieldset".split())
@@ -25,8 +30,10 @@ _ASIDE_WORDS = frozenset(
 _MAIN_ROLES, _MAIN_TAGS = frozenset({"main", "article"}), frozenset({"article", "main"})
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-#: Lines in a window; characters that a window needs to surge outside what the page marks as article.
+#: Lines in a window, and the characters with which one surges: the usual values of line-block distribution.
 WINDOW, SURGE = 3, 86
+#: What a character counts in a part that the page marks as article or main.
+MARKED = 3
 
 
 def _kind(tag: str, attrs: str, inside: bool) -> str:
@@ -47,28 +54,84 @@ def _kind(tag: str, attrs: str, inside: bool) -> str:
     return ""
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
-    """Blocks in page order as (text, in an aside, in a main, characters of links); whether the page marks a main."""
+def _tokens(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag, whether it closes, attributes) for each tag, and the rest of the text with an empty tag.
+
+    Comments, declarations and elements without visible text give an empty tag too. Every character is looked at a
+    bounded number of times: a page on which the quotes of one tag never end has its quotes ignored from there on, and
+    behind the last ``>`` nothing is a tag.
+    """
+    begin = at = 0
+    last, in_quotes = html.rfind(">"), True
+    while (start := html.find("<", at)) >= 0:
+        name = None
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4) + 3
+            if end < 3:  # a comment that never ends hides the rest
+                yield html[begin:start], "", False, ""
+                return
+        elif start > last:
+            break
+        elif html[start + 1 : start + 2] in ("!", "?"):
+            end = html.find(">", start) + 1
+        elif name := _NAME.match(html, start):
+            quoted = _QUOTED.match(html, name.end()) if in_quotes else None
+            in_quotes = in_quotes and quoted is not None
+            end = quoted.end() if quoted else html.find(">", name.end()) + 1
+        else:
+            at = start + 1
+            continue
+        text, tag = html[begin:start], name.group(2).lower() if name else ""
+        if tag in _UNSEEN and not name.group(1):
+            shut = _UNSEEN[tag].search(html, end)
+            end, name = shut.end() if shut else len(html), None
+        yield (text, tag, bool(name.group(1)), html[name.end() : end - 1]) if name else (text, "", False, "")
+        begin = at = end
+    yield html[begin:], "", False, ""
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded; numbers too large for any character become the replacement character."""
+    if "&#" in text:
+        text = _HUGE.sub("�", _ZEROS.sub("&#", text))
+    return unescape(text)
+
+
+def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
+    """Blocks in page order as (text, in an aside, in a main, characters of links)."""
     lines: list[tuple[str, bool, bool, int]] = []
     stack: list[tuple[str, str]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag, on the stack
+    fences: list[int] = []
+    blocks: list[int] = []
     parts: list[str] = []
     aside = main = linked = 0
-    in_link = marked = False
+    in_link = False
 
     def push(tag: str, kind: str) -> None:
-        nonlocal aside, main, marked
+        nonlocal aside, main
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _FENCES:
+            fences.append(len(stack))
+        if tag in _BLOCKS:
+            blocks.append(len(stack))
         stack.append((tag, kind))
-        aside, main, marked = aside + (kind == "aside"), main + (kind == "main"), marked or kind == "main" and not aside
+        aside, main = aside + (kind == "aside"), main + (kind == "main")
 
     def pop() -> None:
         nonlocal aside, main
-        _, kind = stack.pop()
+        tag, kind = stack.pop()
+        places[tag].pop()
+        if tag in _FENCES:
+            fences.pop()
+        if tag in _BLOCKS:
+            blocks.pop()
         aside, main = aside - (kind == "aside"), main - (kind == "main")
 
     def end_line() -> None:
         nonlocal linked
         if parts:
-            if text := " ".join(unescape("".join(parts)).split()):
+            if text := " ".join(_decoded("".join(parts)).split()):
                 lines.append((text, aside > 0, main > 0, linked))
             parts.clear()
         linked = 0
@@ -78,15 +141,11 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
         parts.append(text)
         linked += len(text.strip()) * in_link
 
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = (m.group(3) or m.group(6) or "").lower()
+    for text, tag, closing, attrs in _tokens(html):
+        if text:
+            add(text)
         if not tag:
             continue
-        closing, attrs = m.group(2) or m.group(5), m.group(4) or m.group(7) or ""
         if tag == "a":
             in_link = not closing
         if tag in _BLOCKS:
@@ -95,13 +154,10 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
         elif tag == "br":
             add(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if tag not in _BLOCKS and stack[i][0] in _BLOCKS or tag in _ONE_DEEP and stack[i][0] in ("div", "article", "section", "main", "ul", "ol", "table", "body"):
-                    break  # an end tag doesn't reach out of its container
+            walls = blocks if tag not in _BLOCKS else fences if tag in _ONE_DEEP else ()  # an end tag doesn't reach out of its container
+            if (mine := places.get(tag)) and not (walls and walls[-1] > mine[-1]):
+                for _ in range(len(stack) - mine[-1]):
+                    pop()
         elif tag not in _VOID:
             shut = _ONE_DEEP.get(tag, {"p"} if tag in _BLOCKS else ())
             while stack and stack[-1][0] in shut:
@@ -109,10 +165,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
             kind = _kind(tag, attrs, main > 0)
             if tag in _BLOCKS or kind:
                 push(tag, kind)
-    if at < len(html):
-        add(html[at:])
     end_line()
-    return lines, marked
+    return lines
 
 
 def _between(weight: list[int], sums: list[int], least: float) -> list[int]:
@@ -134,25 +188,27 @@ def _between(weight: list[int], sums: list[int], least: float) -> list[int]:
     return kept
 
 
-def main_text(html: str | None) -> str:
-    """The text between surge and dive points, lines joined by one newline.
-
-    Lines of asides are left out first. A line's weight is its length without links (in a part that is marked as
-    article or main, its length), summed over windows of WINDOW lines that don't cross the border of such a part.
-    Text begins where a window surges over the threshold, or with the weighty lines right before it, and ends before
-    the first window without weight; between them every line stays, whatever its share of links. A marked part surges
-    with any text and is kept whole. Elsewhere the threshold is SURGE or half the page's largest window: the lesser of
-    them on a page without marked text, the greater on one with it.
+def kept_lines(lines: list[tuple[str, bool, int]]) -> list[int]:
+    """Places of the lines (text, in a main, characters of links) that stand between surge and dive points.
+
+    A line weighs its length less that of its links twice, in a part that is marked as article or main MARKED times its
+    length. Weights are summed over windows of WINDOW lines that don't cross the border of such a part. Text begins where
+    a window surges over a threshold, or with the weighty lines right before it, and ends before the first window without
+    weight; between them every line stays, whatever its share of links. The threshold is SURGE or half of the page's
+    largest window, the lesser of them; on a page with marked lines, lines outside need the greater of them.
     """
-    if not html:
-        return ""
-    lines = [(text, inside, links) for text, off, inside, links in lines_of(html)[0] if not off]
-    parts = [list(part) for _, part in groupby(lines, key=lambda line: line[1])]
-    weights = [[len(text) if inside else max(0, len(text) - 2 * links) for text, inside, links in part] for part in parts]
+    parts = [list(part) for _, part in groupby(range(len(lines)), key=lambda i: lines[i][1])]
+    weights = [[MARKED * len(lines[i][0]) if lines[i][1] else max(0, len(lines[i][0]) - 2 * lines[i][2]) for i in part] for part in parts]
     sums = [[sum(weight[i : i + WINDOW]) for i in range(len(weight))] for weight in weights]
     bounds = SURGE, max(map(max, sums), default=0) / 2
-    least = max(bounds) if any(inside for _, inside, _ in lines) else min(bounds)
-    return "\n".join(part[i][0] for part, weight, near in zip(parts, weights, sums, strict=True) for i in (range(len(part)) if part[0][1] else _between(weight, near, least)))
+    some = any(inside for _, inside, _ in lines)
+    return [part[i] for part, weight, near in zip(parts, weights, sums, strict=True) for i in _between(weight, near, max(bounds) if some and not lines[part[0]][1] else min(bounds))]
+
+
+def main_text(html: str | None) -> str:
+    """The text between surge and dive points, lines joined by one newline; lines of menus and other asides are left out first."""
+    lines = [(text, inside, links) for text, off, inside, links in lines_of(html or "") if not off]
+    return "\n".join(lines[i][0] for i in kept_lines(lines))
 
 
 @F.arrow_udf(T.StringType())
@@ -163,8 +219,9 @@ def _extract(pages: pa.Array) -> pa.Array:
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``df`` with the main text of each page in ``out``, which replaces a column of that name.
 
-    Null and empty pages, and pages with no text outside menus and the like, give an empty string.
-    Each row is read alone and whole; rows that repeat stay and other columns pass.
+    Null and empty pages, and pages with no text outside menus and the like, give an empty string; an empty table
+    gives an empty one. Each row is read alone and whole, in time that grows with its length, however long or broken
+    it is; rows that repeat stay and other columns pass.
     """
     return df.withColumn(out, _extract(F.col(html)))
 
