@@ -400,6 +400,9 @@ def test_leaks(spark, docs, none):
     assert got == {(i, i) for i in range(30)} | {(100 + i, i) for i in range(30)}
     assert decontam.digest(none, bench).count() == 0
     assert decontam.digest(docs, bench.where("false")).count() == 0
+    assert decontam.digest(docs, spark.createDataFrame([(1, BASE), (2, "x"), (3, " ")], "item_id long, text string")).where("doc_id = 0 and item_id = 1 or doc_id = 12 and item_id = 2").count() == 3
+    clash = decontam.find_leaks(docs.withColumn("leaks", F.lit(1)), decontam.fit(docs, bench))
+    assert clash.columns == [*docs.columns, "leaks"] and clash.count() == len(ROWS)
 
 
 def test_leaks_of_items_with_a_repeated_id_or_none(spark):
@@ -427,6 +430,43 @@ def test_leaks_in_part_paraphrased_and_with_a_short_answer(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(50)]
 
 
+def test_leaks_against_all_pairs(spark, monkeypatch):
+    """Paraphrases that keep 40 to 100 of 100 words: the search finds what a check of every window against every item confirms."""
+    import random
+
+    import pyarrow as pa
+
+    rand = random.Random(11)
+    words = [f"{a}{b}" for a in ("ab", "cor", "de", "fi", "lu", "mo", "ren", "tal") for b in ("na", "ter", "so", "ving", "le", "ra", "tis", "un", "wer")]
+    common = lambda n: [rand.choice(words[:20]) if rand.random() < 0.4 else rand.choice(words) + rand.choice(words) for _ in range(n)]
+    items = [[*common(rand.randrange(12, 45)), *(["done?", *common(rand.randrange(1, 6))] if i % 2 else [])] for i in range(30)]
+    texts = []
+    for share in (0.4, 0.5, 0.6, 0.7, 0.85, 1.0):
+        for i, x in enumerate(items):
+            last = x.index("done?") if i % 2 else len(x)
+            kept = [w if rand.random() < share or j > last else rand.choice(words) for j, w in enumerate(x) if rand.random() < 0.95 or j > last]
+            texts.append(" ".join([*common(rand.randrange(60)), *kept, *common(rand.randrange(60))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "SLICE", 7)
+    found = Counter(rows(decontam.digest(docs, bench).select("doc_id", "item_id")))
+    h = lambda x: decontam._hashes(decontam.Words(pa.array([x], pa.large_string()))).tolist()
+    want = Counter()
+    for d, t in enumerate(texts):
+        all_ = h(t)
+        for i, x in enumerate(items):
+            item, answer = h(" ".join(x)), h(decontam._answer(" ".join(x)))
+            for s in range(0, len(all_), decontam.STEP):
+                near = all_[max(0, s - len(item)) : s + 24 + len(item)]
+                share = decontam.common(item, near) / len(item)
+                said = answer and any(near[j : j + len(answer)] == answer for j in range(len(near)))
+                quoted = max(decontam.common(item[a : a + 24], all_[max(0, s - 12) : s + 36]) for a in range(0, max(1, len(item) - 12), 12))
+                if share >= 0.6 or said and share >= (0.4 if len(answer) >= 4 else 0.5) or quoted >= 18:
+                    want[d, i] = 1
+                    break
+    assert not found - want and sum((found & want).values()) >= 0.95 * sum(want.values()) and len(want) > 120
+
+
 def test_latent_space_is_that_of_the_exact_decomposition(spark):
     rand = np.random.default_rng(1)
     a = rand.random((40, 12)) @ rand.random((12, 30))
