@@ -203,6 +203,67 @@ def test_substring_dedup(docs, none, length, seed):
     assert substring.digest(none, length, seed).count() == 0
 
 
+def test_substring_dedup_of_families(spark):
+    """Passages shared in part, at text borders, within one text, and across factor boundaries."""
+    import random
+
+    rand = random.Random(8)
+    word = lambda: f"v{rand.randrange(60)}"
+    passages = [[word() for _ in range(rand.randrange(20, 120))] for _ in range(6)]
+    texts = []
+    for i in range(120):
+        w = []
+        for _ in range(rand.randrange(1, 5)):
+            x = rand.choice(passages)
+            lo = rand.randrange(len(x) // 2) if rand.random() < 0.5 else 0
+            w += [f"u{i}.{rand.randrange(10**6)}" for _ in range(rand.randrange(4))] + x[lo : rand.randrange(lo + 1, len(x) + 1) if rand.random() < 0.6 else len(x)]
+        texts.append((i, " ".join(w)))
+    texts += [(1000, "a b " * 60), (1001, "a " * 200), (1002, "a b " * 20), *texts[:2], (1003, texts[0][1])]
+    words = [(d, t.split()) for d, t in texts]
+    seen = Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
+    want = Counter()
+    for d, w in words:
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want[d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert Counter(rows(substring.digest(docs))) == want
+    _, _, cut = substring.repeated(docs, whole=True)
+    some = 0
+    for r in cut.collect():
+        for f, g in zip(r.factors, r.factors[1:], strict=False):
+            assert f["first"] < g["first"] and f["first"] + f["n_words"] < g["first"] + g["n_words"]
+        some += sum(f["n_words"] >= 35 for f in r.factors)
+        assert all(f["n_words"] >= 35 for f in r.factors)
+    assert some > 60
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12), st.integers(0, 2), st.integers(0, 2)), max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_parse_is_greedy(given_):
+    matches = [(a, a + n, source, a + shift) for a, n, source, shift in given_]
+    cover: dict[tuple[int, int], set] = {}
+    for a, b, source, at in matches:
+        cover.setdefault((source, at - a), set()).update(range(a, b))
+    runs = []  # maximal runs of one source and distance; those that touch are one match
+    for (source, shift), place in cover.items():
+        for a in place:
+            if a - 1 not in place:
+                b = a
+                while b in place:
+                    b += 1
+                runs.append((a, b, source, a + shift))
+    want, i = [], 0
+    while i < 60:
+        over = [r for r in runs if r[0] <= i < r[1]]
+        if over:
+            end = max(r[1] for r in over)
+            want.append((end, min(r[0] for r in over if r[1] == end)))
+            i = end
+        else:
+            i += 1
+    assert [(b, a) for a, b, *_ in substring.parse(matches)] == want
+
+
 # quality
 
 
