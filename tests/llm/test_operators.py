@@ -135,8 +135,9 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_across_components_of_a_large_family(spark):
-    """Copies of one text with many edits: most pairs are near the limit, and stars alone miss some."""
+@pytest.mark.parametrize("times", [1, 2])
+def test_across_components_of_a_large_family(spark, times):
+    """Copies of one text with many edits: most pairs are near the limit, and stars alone miss some. Rows that repeat change nothing."""
     import random
 
     rand = random.Random(4)
@@ -154,10 +155,17 @@ def test_across_components_of_a_large_family(spark):
             for b in range(len(sets)):
                 if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                     reach[a] = reach[b] = min(reach[a], reach[b])
-    got = dict(rows(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "component_id")))
+    got = dict(rows(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)) * times, "doc_id long, text string")).select("doc_id", "component_id")))
     assert [got[i] for i in range(len(texts))] == reach
 
 
+def test_sets_of_repeated_rows_are_one(spark):
+    from wavemill.llm._spread import one_each
+
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (1, "a")], "uid long, x string")
+    assert sorted(rows(one_each(twice, ["uid"], "t-one"))) == [(1, "a"), (2, "b")]
+
+
 # toxicity
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +12,9 @@ from pyspark.sql.window import Window as W
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none, local mode takes a temporary folder and a cluster the warehouse.
+    Where the session names none, the warehouse, which is shared too.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = tempfile.mkdtemp(prefix="wavemill-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_each(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``df`` as a written table with one row of each (not null) key. Rows that repeat a key are taken to be few, so only keys are grouped."""
+    table = written(df.withColumn("_row", F.monotonically_increasing_id()), name)
+    twins = table.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_row").alias("_least")).where("_n > 1")
+    more = written(table.select(*key, "_row").join(twins, key).where("_row <> _least").select("_row"), name + "-twins")
+    return table.join(more, "_row", "left_anti").drop("_row")
+
+
 def numbered(df: DataFrame, group: list[str], key: list[str], out: str, rows: int, per_task: int = 50_000) -> DataFrame:
     """Adds ``out``: gapless numbers from 0 within each group.
 

@@ -32,7 +32,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        m = max(n, (1 << 20) + (1 << 18))
+        m = max(n, (1 << 18) + (1 << 16))
         for name, base in (("up", _MULT), ("down", _MULT_INV)):
             x = np.full(m, base, U)
             x[0] = 1
@@ -40,7 +40,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"]
 
 
-def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+def pieces(texts: pa.Array, most: int = 1 << 18) -> Iterator[pa.Array]:
     """Slices of about ``most`` bytes (one text at least), so that working arrays stay small."""
     texts = texts.cast(pa.large_string()).fill_null("")
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

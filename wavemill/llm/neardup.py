@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from ._spread import hot_keys, salted_join, written
+from ._spread import hot_keys, one_each, salted_join, written
 from ._words import U, Words, mix, pieces
 
 SHINGLE, BANDS, ROWS = 5, 24, 3
@@ -159,7 +160,10 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
         now = labels.select("uid", F.col("label").alias("old"))
         least = both.join(now.select(F.col("uid").alias("b"), "old"), "b").groupBy("a").agg(F.min("old").alias("_least"))
         step = now.join(least.withColumnRenamed("a", "uid"), "uid").select("uid", "old", F.least("old", "_least").alias("_to"))
-        labels = written(step.join(now.select(F.col("uid").alias("_to"), F.col("old").alias("_jump")), "_to").select("uid", "old", F.least("_to", "_jump").alias("label")), name)
+        step = written(step, name + "-step")
+        hot = hot_keys(step.groupBy("_to").count(), ["_to"], "count", step.count())
+        jumped = salted_join(step, now.select(F.col("uid").alias("_to"), F.col("old").alias("_jump")), ["_to"], hot, F.col("uid"))
+        labels = written(jumped.select("uid", "old", F.least("_to", "_jump").alias("label")), name)
         if labels.where("old <> label").isEmpty():
             return labels.select("uid", "label")
 
@@ -171,7 +175,8 @@ def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
     plus what A and B share outside C, and a link needs 3/7 of |A| + |B|. A pair in different components has
     at least one that isn't linked with C. So it shares a shingle outside C that stands in
     more than one component (lists by hub and shingle), or one of them is smaller than C
-    and both have nearly all in C. Lists with the same members count once. A pair that meets under several hubs is sought under
+    and both have nearly all in C. Lists with the same members count once, and a member leaves its longest lists, as far as
+    a link has to share more shingles than they stand for. A pair that meets under several hubs is sought under
     one where it can: the nearest hub of the one or else of the other. These are conditions that any link meets:
     no pair that could be one is left out.
     """
@@ -194,11 +199,15 @@ def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
 
     posts = m.select("hub", "a", "la", F.explode("rest").alias("s"))
     lists = posts.groupBy("hub", "s").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("a")).alias("h")).where("lo <> hi").select("hub", "s", "c", "h")
-    lead = lists.groupBy("hub", "c", "h").agg(F.min("s").alias("s")).select("hub", "s", F.lit(True).alias("lead"))
-    lists = written(lists.select("hub", "s").join(lead, ["hub", "s"], "left"), "lists")
-    inside = written(posts.join(lists, ["hub", "s"]).select("hub", "s", "a", "lead"), "postings")
+    lead = lists.groupBy("hub", "c", "h").agg(F.min("s").alias("s"), F.count("*").alias("lead")).select("hub", "s", "lead")
+    lists = written(lists.select("hub", "s", "c").join(lead, ["hub", "s"], "left"), "lists")
+    inside = written(posts.join(lists, ["hub", "s"]).select("hub", "s", "a", "lead", "c"), "postings")
     able = inside.groupBy("hub", "a").agg(F.count("*").alias("g")).join(m.drop("rest"), ["hub", "a"]).where("4 * (inter + g) >= 3 * na")
-    x = written(inside.where("lead").select("hub", "s", "a").join(able.select("hub", "a", "la", "na", "inter", "g", "out", "hubs", "near"), ["hub", "a"]), "able")
+    x = inside.where("lead is not null").join(able.select("hub", "a", "la", "na", "inter", "g", "out", "hubs", "near"), ["hub", "a"])
+    # the longest lists of a member, so many that a link must share more than they stand for, aren't needed: the shortest list that a pair shares is another one
+    longest = F.sum("lead").over(W.partitionBy("hub", "a").orderBy(F.desc("c"), F.desc("s")).rowsBetween(W.unboundedPreceding, 0))
+    x = x.withColumn("_sum", longest).where(7 * (F.col("_sum") + F.col("inter")) >= 3 * (F.col("na") + F.ceil(0.75 * F.col("na")))).drop("_sum", "lead", "c")
+    x = written(x, "able")
     y = x.select("hub", "s", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("inter").alias("ib"), F.col("g").alias("gb"), F.col("hubs").alias("hubs_b"), F.col("near").alias("near_b"))
     fits = (F.col("la") != F.col("lb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
     share = 7 * (F.least("inter", "ib") + F.least("g", "gb")) >= 3 * (F.col("na") + F.col("nb"))
@@ -220,7 +229,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     largest buckets is the hub and the others are compared with it alone; what such stars can't settle is
     found by _across. Links are confirmed on whole sets. Texts without words (null, empty, white space) have an
     empty set and are linked with nothing. component_id is the least doc_id reachable; rows that repeat
-    share it. A null doc_id counts as its own component if nothing else is reachable. Other columns don't pass.
+    share it. A null doc_id counts as its own component if nothing else is reachable. Very long texts are one row like any other: their
+    sets are worked on one at a time. An empty table gives an empty one. Other columns don't pass.
     """
     docs = docs.select("doc_id", "text")
     sketched = written(docs.withColumn("k", _sketch()(F.col("text"))).select("doc_id", "k.*"), "sketches")
@@ -234,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = members.groupBy("uid").agg(F.sum(F.log("count")).alias("pull"))
     wanted = known.join(classes.select("uid", "rep", "k1", "k2"), "uid")
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).withColumn("z", _set()(F.col("text")))
-    sets = written(texts.where("z.k1 = k1 and z.k2 = k2").select("uid", "z.set"), "sets")
+    sets = one_each(texts.where("z.k1 = k1 and z.k2 = k2").select("uid", "z.set"), ["uid"], "sets")
     hubs = members.join(known, "uid").groupBy("band").agg(F.max_by("uid", F.struct("pull", -F.col("uid"))).alias("b"))
     edges = salted_join(members.select("band", F.col("uid").alias("a")), hubs, ["band"], crowded, F.col("a")).where("a <> b").select("a", "b").distinct()
     found = _compared(edges, sets, True, "stars")
@@ -244,8 +254,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.union(more))
     of = classes.select("uid", "k1", "k2", "rep", "copies").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    least = of.groupBy("label").agg(F.min("rep").alias("component_id"))
-    home = written(of.join(least, "label").select("k1", "k2", "copies", "component_id"), "components")
+    of = written(of.select("uid", "k1", "k2", "rep", "copies", "label"), "labelled")
+    least = written(of.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "least")
+    home = salted_join(of, least.drop("n"), ["label"], hot_keys(least, ["label"], "n", total), F.col("uid"))
+    home = written(home.select("k1", "k2", "copies", "component_id"), "components")
     some = salted_join(sketched.where("n_shingles > 0").drop("bands"), home.drop("copies"), ["k1", "k2"], hot_keys(home, ["k1", "k2"], "copies", sketched.count()), F.struct("doc_id"))
     none = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.select("doc_id", "n_shingles", "component_id").union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

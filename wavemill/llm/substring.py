@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spread import hot_keys, salted_join, written
+from ._spread import hot_keys, one_each, salted_join, written
 from ._words import U, Words, mix, pieces
 
 LENGTH, SEED = 35, 8
@@ -266,10 +266,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, key: str =
     found = found.groupBy(*KEY, "_one").agg(F.collect_list(F.struct("p", "s", (F.col("o") == F.col("block")).alias("block"))).alias("seeds"))
     one = docs.select(F.col(key).alias("_one"), "text", *_text_key(F.col("text")))
     same = [one.k1 == found.k1, one.k2 == found.k2, one["_one"].eqNullSafe(found["_one"])]
-    texts = written(one.join(found, same).select(found.k1, found.k2, "text", "seeds", F.monotonically_increasing_id().alias("uid")), "repeating")
-    twins = texts.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("uid").alias("least")).where("n > 1")  # rows that repeat a document
-    more = written(texts.select("uid", *KEY).join(twins, KEY).where("uid <> least").select("uid"), "twins")
-    texts = texts.join(more, "uid", "left_anti")
+    texts = one_each(one.join(found, same).select(found.k1, found.k2, "text", "seeds"), KEY, "repeating").withColumn("uid", F.xxhash64(*KEY))
 
     def around(block: bool) -> DataFrame:
         mine = texts.withColumn("seeds", F.filter("seeds", lambda x: x["block"] == block)).where(F.size("seeds") > 0)
