@@ -409,6 +409,7 @@ def test_pii(docs, none):
         base = _base(t or "")
         assert tuple(got[d][f"n_{k}"] for k in PATTERNS) == tuple(sum(s[0] == k for s in base) for k in PATTERNS)
         assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+    assert [len(r.scores) for r in got.values()] == [len(r.spans.split(",")) if r.spans else 0 for r in got.values()]
     assert {s.split(":")[0] for s in got[16].spans.split(",")} == {"email", "card", "ip", "phone", "iban", "secret"}
     clean = {r.doc_id: r.text for r in pii.redact(docs).select("doc_id", "text").collect()}
     assert "<EMAIL>" in clean[16] and "4111" not in clean[16] and clean[4] is None and clean[0] == BASE
@@ -426,6 +427,24 @@ def test_spans_that_a_greedy_run_or_a_gate_would_hide():
     assert pii.redacted(f"password: correcthorsebatterystaple, to {de} NOW") == "password: <SECRET>, to <IBAN> NOW"
 
 
+def test_context_words_decide(spark):
+    kinds = lambda x: [k for k, *_ in pii.spans_of(x)], lambda x: pii.redacted(x)
+    de = "DE89370400440532013000"
+    for clean, other, kind in (
+        (f"pay to {de} today", f"an example: {de} today", "iban"),
+        ("password = correcthorsebatterystaple", "placeholder password = correcthorsebatterystaple", "secret"),
+        ("social security 123-45-6789", "item 123-45-6789", "ssn"),
+        ("call 555-123-4567 now", "item 555-123-4567 now", "local_phone"),
+    ):
+        assert kinds[0](clean) == kinds[0](other) == [kind]
+        assert f"<{kind.upper()}>" in kinds[1](clean) and kinds[1](other) == other
+        df = spark.createDataFrame([(1, clean), (2, other)], "doc_id long, text string")
+        assert {r.doc_id: (r.spans.split(":")[0], len(r.scores)) for r in pii.digest(df).collect()} == {1: (kind, 1), 2: ("", 0)}
+    assert [pii.spans_of(f"{de} {x}")[0][:3] for x in ("PLEASE", "AND 12", "X")] == [("iban", 0, 22)] * 3
+    assert pii.spans_of("DE89 3704 0044 0532 0130 00 AND")[0][:3] == ("iban", 0, 27)
+    assert pii.redacted("call x 555-123-4567 order") == "call x 555-123-4567 order" and pii.spans_of("ZZ89" + "1" * 100_000)[:1] == []
+
+
 # URLs
 
 
@@ -441,6 +460,25 @@ def test_urls(spark):
     assert urls.digest(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 16 << 20])
+def test_variants_of_a_listed_url(spark, monkeypatch, most):
+    """Both forms of the filter's join; other schemes, ports, slashes and queries; a hot host; a host of 200 KB."""
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", most)
+    bad = ["http://a.org/p//1?x=1&ref=9", "https://www.a.org:443/p/1/", "x://u@a.org./p/1#t", "ftp://a.org/p/1", "http://casino-win.org/", "http://x.y.casino-win.org/deep"]
+    good = ["http://a.org/p/2", "http://a.org/p", "http://b.a.org/p/1", "http://a.org/q#?ref=1", "http://win.org/", "http://" + "a." * 100_000 + "org/"]
+    long = "http://" + "a." * 100_000 + "casino-win.org/"
+    many = [f"http://hot.org/{i % 7}" for i in range(2000)] + ["http://hot.org/3?ref=x"] * 2
+    df = spark.createDataFrame(list(enumerate([*bad, *good, long, *many])), "page_id long, url string").repartition(6)
+    got = {r.page_id: r.verdict for r in urls.digest(df).collect()}
+    assert len(got) == len(bad) + len(good) + 1 + len(many)
+    assert [got[i] for i in range(len(bad) + len(good) + 1)] == ["block"] * len(bad) + ["allow"] * len(good) + ["block"]
+    for i, u in enumerate(many, len(bad) + len(good) + 1):
+        assert got[i] == ("block" if "/3" in u else "allow")
+    some = spark.createDataFrame([("http://a.org/1",), ("http://a.org/1",), (None,)], "url string")
+    out = urls.filter_urls(some.withColumn("rule", F.lit(5)), spark.createDataFrame([], "key string"))
+    assert [r.verdict for r in out.collect()] == ["allow"] * 3 and sorted(out.columns) == ["rule", "url", "url_host", "url_path", "verdict"]
+
+
 def test_bloom_passes_every_listed_key_and_the_join_removes_the_rest(spark):
     listed = spark.range(0, 4000, 2).select(F.concat(F.lit("k"), "id").alias("key"))
     keys = spark.range(6000).select("id", F.concat(F.lit("k"), "id").alias("key"))

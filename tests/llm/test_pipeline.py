@@ -44,6 +44,19 @@ def test_stages(spark, sf):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 4096
 
 
+def test_columns_that_clash_and_rows_that_repeat(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 100 or doc_id in (202, 204, 205)")
+    extra = docs.selectExpr("*", "'mine' as kept", "7 as n_words", "1 as quality_score", "2 as leaks", "3 as _leaks", "4 as component_id", "5 as _m", "6 as _id")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, extra, sf)
+        assert out.columns == extra.columns, name
+        assert {(r.kept, r.n_words, r.leaks, r.component_id, r._id) for r in out.collect()} == {("mine", 7, 2, 4, 6)}, name
+    good = docs.where("doc_id < 3")
+    twice = good.union(good).union(good.selectExpr("null as doc_id", "text", "lang", "source", "n_chars")).union(good.selectExpr("1 as doc_id", "concat(text, ' x', text) as text", "lang", "source", "n_chars"))
+    out = sorted((r.doc_id, len(r.text)) for r in pipeline.near_dedup(spark, twice, sf).collect())
+    assert [d for d, _ in out] == [0, 1, 1]  # three groups; the third one's least doc_id is that of its doubled text
+
+
 def test_empty_table(spark, sf, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")

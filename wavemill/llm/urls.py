@@ -24,6 +24,12 @@ RULES = (
 #: Words that make a host's label one of an unwanted site; a parameter of listed_sites.
 UNWANTED = ("bets", "casino", "pills", "adult", "spam", "track")
 
+#: Query parameters that mark a URL as an affiliate's; a parameter of listed_pages.
+AFFILIATE = ("ref", "aff", "affid")
+
+#: Characters that the host of a listed site has at most.
+LONGEST_HOST = 253
+
 #: Bytes up to which the Bloom filter is broadcast; a larger one is joined by block.
 BROADCAST_BYTES = 16 << 20
 _WORDS, _BITS_PER_KEY = 4, 16
@@ -52,14 +58,22 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """Host without a leading ``www.`` and path without trailing slashes; the site itself is ``host/``."""
-    bare = F.regexp_replace(path, "/+$", "")
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.when(bare == "", "/").otherwise(bare))
+    """Host without user, port, final dot and a leading ``www.``, and path with single slashes and none at its end; the site itself is ``host/``.
+
+    Scheme, query and fragment have no part in it, so all such variants of a page are one.
+    """
+    bare = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", "")
+    site = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", ""), r"^www\.", "")
+    return F.concat(site, F.when(bare == "", "/").otherwise(bare))
 
 
 def sites_of(host: Column) -> Column:
-    """``suffix/`` for the host and each parent domain of two labels or more."""
-    labels = F.split(host, r"\.")
+    """``suffix/`` for the host and each parent domain of two labels or more.
+
+    Of a host of more than LONGEST_HOST characters only the end can be a listed site, so a row has bounded keys.
+    """
+    end = F.substring(host, -LONGEST_HOST - 1, LONGEST_HOST + 1)
+    labels = F.split(F.when(F.length(host) > LONGEST_HOST, F.regexp_replace(end, r"^[^.]*\.?", "")).otherwise(host), r"\.")
     n = F.size(labels)
     return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(labels, i, n), "."), F.lit("/")))
 
@@ -93,19 +107,32 @@ def hits(keys: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def listed_sites(urls: DataFrame, unwanted=UNWANTED) -> DataFrame:
-    """A block list from the URLs at hand: ``key`` is each site whose first label of three or more has an unwanted word."""
-    label = F.regexp_extract("_host", r"(?:^|\.)([^.]*)\.[^.]+\.[^.]+$", 1)
-    site = F.regexp_extract("_host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    return urls.select(host(F.col("url")).alias("_host")).distinct().where(F.arrays_overlap(F.split(label, "-"), F.array(*map(F.lit, unwanted)))).select(F.concat(site, F.lit("/")).alias("key")).distinct()
+    """A block list from the URLs at hand: ``key`` is each site whose first label of three or more (of two, if that is all) has an unwanted word."""
+    site = F.regexp_extract("_host", r"([^.]+\.[^.]+\.[^.]+|^[^.]+\.[^.]+)$", 1)
+    label = F.regexp_extract("_site", r"^([^.]*)", 1)
+    hosts = urls.select(host(F.col("url")).alias("_host")).distinct().select(site.alias("_site")).where(F.length("_site").between(1, LONGEST_HOST))
+    return hosts.where(F.arrays_overlap(F.split(label, "-"), F.array(*map(F.lit, unwanted)))).select(F.concat("_site", F.lit("/")).alias("key")).distinct()
+
+
+def listed_pages(urls: DataFrame, affiliate=AFFILIATE, rules=RULES) -> DataFrame:
+    """A block list from the URLs at hand: ``key`` is the canonical form of each URL that a rule blocks or an affiliate's query marks.
+
+    So other forms of such a page are found too: another scheme or port, ``www.``, slashes, another query or none.
+    """
+    h, p = host(F.col("url")), path(F.col("url"))
+    query = F.coalesce(F.regexp_extract("url", r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+    marked = query.rlike(f"(^|&)({'|'.join(affiliate)})=")
+    return urls.where((h != "") & (marked | (rule_for(h, p, rules)["verdict"] == "block"))).select(canonical(h, p).alias("key")).distinct()
 
 
 def filter_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``df`` with url_host, url_path, rule and verdict (``allow`` or ``block``).
 
     The longest fitting rule decides. Without one, the URL is blocked if its canonical form, its
-    site or a parent domain is in ``listed`` (column ``key``), else allowed. Null URLs and those
+    site or a parent domain is in ``listed`` (column ``key``; it may be empty), else allowed. Null URLs and those
     without ``://`` have an empty host and path, fit no rule and are allowed. Rows that repeat
-    stay; the four columns replace ones of their names. Lookups run over distinct hosts
+    stay; the four columns replace ones of their names; an empty table gives an empty one. Very long hosts have bounded keys (see sites_of),
+    very long paths one key. Lookups run over distinct hosts
     and distinct URLs, so one host with a third of all rows is looked up once; what is found goes back to the rows by
     joins that deal hot hosts and hot URLs over salts.
     """
@@ -121,8 +148,9 @@ def filter_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES)
     of_page = df.groupBy("url_host", "url_path").count()
     of_host = of_page.groupBy("url_host").agg(F.sum("count").alias("count"))
     total = df.count()
-    out = salted_join(df, site, ["url_host"], hot_keys(of_host, ["url_host"], "count", total), F.struct(url), "left")
-    out = salted_join(out, page, ["url_host", "url_path"], hot_keys(of_page, ["url_host", "url_path"], "count", total), F.monotonically_increasing_id(), "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t))
+    out = salted_join(df, site, ["url_host"], hot_keys(of_host, ["url_host"], "count", total), whole, "left")
+    out = salted_join(out, page, ["url_host", "url_path"], hot_keys(of_page, ["url_host", "url_path"], "count", total), whole, "left")
     out = out.withColumn("_ruled", ruled)
     return out.withColumns({"rule": F.col("_ruled.rule"), "verdict": F.coalesce("_ruled.verdict", method)}).drop("_ruled", "_site", "_page")
 
@@ -130,7 +158,7 @@ def filter_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES)
 def digest(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     pages = pages.select("page_id", "url")
-    out = filter_urls(pages, listed_sites(pages))
+    out = filter_urls(pages, listed_sites(pages).union(listed_pages(pages)))
     return out.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), "rule", "verdict")
 
 
@@ -138,22 +166,28 @@ def digest(pages: DataFrame) -> DataFrame:
 SQL = r"""
 with p as (
   select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path,
+         regexp_matches(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '(^|&)(ref|aff|affid)=') as marked
   from pages),
-sites as (
-  select distinct regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) as site from p
-  where list_has_any(string_split(regexp_extract(host, '(?:^|\.)([^.]*)\.[^.]+\.[^.]+$', 1), '-'), ['bets', 'casino', 'pills', 'adult', 'spam', 'track'])),
 r as (
-  select p.*, case
-    when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
-    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
-    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
-    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
-    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
-  from p)
+  select p.*, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+|^[^.]+\.[^.]+)$', 1) as site,
+    regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', ''), '^www\.', '')
+      || case when rtrim(path, '/') = '' then '/' else regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') end as page,
+    case
+      when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+      when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+      when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
+  from p),
+sites as (
+  select distinct site from r where length(site) between 1 and 253
+    and list_has_any(string_split(regexp_extract(site, '^([^.]*)', 1), '-'), ['bets', 'casino', 'pills', 'adult', 'spam', 'track'])),
+listed as (select distinct page from r where host <> '' and (marked or rule in ('example.com/en/', 'net/es/', 'net/fr/')))
 select page_id, host, path, rule, case
     when rule in ('com/', 'www.example.com/en/') then 'allow'
     when rule is not null then 'block'
+    when page in (select page from listed) then 'block'
     when exists (select 1 from sites where r.host = site or ends_with(r.host, '.' || site)) then 'block'
     else 'allow' end as verdict
 from r
