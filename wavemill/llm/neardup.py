@@ -168,6 +168,26 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels.select("uid", "label")
 
 
+def _centres(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) to a second hub of each star whose members are in several components: one for each other member.
+
+    It is the member that is likeliest to share much with the others: what it shares with the first hub, and of its
+    shingles beside those the share of members that have them.
+    """
+    of = labels.select("uid", "label")
+    m = found.join(of.select(F.col("uid").alias("a"), F.col("label").alias("_l")), "a", "left").withColumn("la", F.coalesce("_l", "a"))
+    mixed = m.groupBy("b").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("b", "n")
+    m = written(m.join(mixed, "b").select("a", "b", "inter", "rest", "n"), "mixed")
+    posts = m.select("a", "b", F.explode("rest").alias("s"))
+    common = posts.groupBy("b", "s").count().where("count > 1")
+    near = posts.join(common, ["b", "s"]).groupBy("a", "b").agg(F.sum("count").alias("far"))
+    scored = m.select("a", "b", "inter", "n").join(near, ["a", "b"], "left").withColumn("score", F.col("inter") + F.coalesce("far", F.lit(0)) / F.col("n"))
+    best = scored.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("c"))
+    edges = m.select("a", "b").join(best, "b").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    both = found.select("a", "b").union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.join(both, ["a", "b"], "left_anti")
+
+
 def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) that may be links between components although a star has shown neither.
 
@@ -176,7 +196,7 @@ def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
     at least one that isn't linked with C. So it shares a shingle outside C that stands in
     more than one component (lists by hub and shingle), or one of them is smaller than C
     and both have nearly all in C. Lists with the same members count once, and a member leaves its longest lists, as far as
-    a link has to share more shingles than they stand for. A pair that meets under several hubs is sought under
+    a link with the list's smallest set, or one of three quarters of the member's, has to share more shingles than they stand for. A pair that meets under several hubs is sought under
     one where it can: the nearest hub of the one or else of the other. These are conditions that any link meets:
     no pair that could be one is left out.
     """
@@ -197,16 +217,16 @@ def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
         under_second = F.array_contains(one, second_near) | (first_ == second_near)
         return F.when(under_first, F.col("hub") == first_near).when(under_second, F.col("hub") == second_near).otherwise(True)
 
-    posts = m.select("hub", "a", "la", F.explode("rest").alias("s"))
-    lists = posts.groupBy("hub", "s").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("a")).alias("h")).where("lo <> hi").select("hub", "s", "c", "h")
+    posts = m.select("hub", "a", "la", "na", F.explode("rest").alias("s"))
+    lists = posts.groupBy("hub", "s").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("a")).alias("h"), F.min("na").alias("least")).where("lo <> hi").select("hub", "s", "c", "h", "least")
     lead = lists.groupBy("hub", "c", "h").agg(F.min("s").alias("s"), F.count("*").alias("lead")).select("hub", "s", "lead")
-    lists = written(lists.select("hub", "s", "c").join(lead, ["hub", "s"], "left"), "lists")
-    inside = written(posts.join(lists, ["hub", "s"]).select("hub", "s", "a", "lead", "c"), "postings")
+    lists = written(lists.select("hub", "s", "c", "least").join(lead, ["hub", "s"], "left"), "lists")
+    inside = written(posts.join(lists, ["hub", "s"]).select("hub", "s", "a", "lead", "c", "least"), "postings")
     able = inside.groupBy("hub", "a").agg(F.count("*").alias("g")).join(m.drop("rest"), ["hub", "a"]).where("4 * (inter + g) >= 3 * na")
     x = inside.where("lead is not null").join(able.select("hub", "a", "la", "na", "inter", "g", "out", "hubs", "near"), ["hub", "a"])
     # the longest lists of a member, so many that a link must share more than they stand for, aren't needed: the shortest list that a pair shares is another one
     longest = F.sum("lead").over(W.partitionBy("hub", "a").orderBy(F.desc("c"), F.desc("s")).rowsBetween(W.unboundedPreceding, 0))
-    x = x.withColumn("_sum", longest).where(7 * (F.col("_sum") + F.col("inter")) >= 3 * (F.col("na") + F.ceil(0.75 * F.col("na")))).drop("_sum", "lead", "c")
+    x = x.withColumn("_sum", longest).where(7 * (F.col("_sum") + F.col("inter")) >= 3 * (F.col("na") + F.greatest(F.ceil(0.75 * F.col("na")), "least"))).drop("_sum", "lead", "c", "least")
     x = written(x, "able")
     y = x.select("hub", "s", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("inter").alias("ib"), F.col("g").alias("gb"), F.col("hubs").alias("hubs_b"), F.col("near").alias("near_b"))
     fits = (F.col("la") != F.col("lb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
@@ -226,8 +246,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class from the start, so copies cost one row. A class's BANDS keys of ROWS values each make
     two classes with similarity 0.75 share no bucket once in 500,000 times. In a bucket the class that falls into the most and
-    largest buckets is the hub and the others are compared with it alone; what such stars can't settle is
-    found by _across. Links are confirmed on whole sets. Texts without words (null, empty, white space) have an
+    largest buckets is the hub and the others are compared with it alone; where that leaves several components,
+    with a second, more central hub (see _centres); what such stars can't settle is found by _across. Links are confirmed on whole sets. Texts without words (null, empty, white space) have an
     empty set and are linked with nothing. component_id is the least doc_id reachable; rows that repeat
     share it. A null doc_id counts as its own component if nothing else is reachable. Very long texts are one row like any other: their
     sets are worked on one at a time. An empty table gives an empty one. Other columns don't pass.
@@ -250,6 +270,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = _compared(edges, sets, True, "stars")
     links = found.where(_is_link()).select("a", "b")
     labels = components(links)
+    second = _compared(_centres(found, labels), sets, True, "centres")
+    if not second.isEmpty():
+        found = written(found.union(second), "stars")
+        links = found.where(_is_link()).select("a", "b")
+        labels = components(links)
     more = _compared(_across(found, labels), sets, False, "across").where(_is_link()).select("a", "b")
     if not more.isEmpty():
         labels = components(links.union(more))
