@@ -155,10 +155,11 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     or so; every round is a written table, and only whether any label changed reaches the driver.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), name + "-links")
+    busy = written(hot_keys(both.groupBy("b").count(), ["b"], "count", both.count()), name + "-busy")
     labels = written(both.select(F.col("a").alias("uid"), F.col("a").alias("old")).distinct().withColumn("label", F.col("uid")), name)
     while True:
         now = labels.select("uid", F.col("label").alias("old"))
-        least = both.join(now.select(F.col("uid").alias("b"), "old"), "b").groupBy("a").agg(F.min("old").alias("_least"))
+        least = salted_join(both, now.select(F.col("uid").alias("b"), "old"), ["b"], busy, F.col("a")).groupBy("a").agg(F.min("old").alias("_least"))
         step = now.join(least.withColumnRenamed("a", "uid"), "uid").select("uid", "old", F.least("old", "_least").alias("_to"))
         step = written(step, name + "-step")
         hot = hot_keys(step.groupBy("_to").count(), ["_to"], "count", step.count())
@@ -168,6 +169,24 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels.select("uid", "label")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (see components) after more ``links`` (a, b).
+
+    Only links between different labels change anything, so components are sought among labels, not among all links again.
+    """
+    links = written(links.select("a", "b"), "more-links")
+    of = labels.select("uid", "label")
+    here = links.join(of.select(F.col("uid").alias("a"), F.col("label").alias("_la")), "a", "left")
+    hot = hot_keys(links.groupBy("b").count(), ["b"], "count", links.count())
+    here = salted_join(here, of.select(F.col("uid").alias("b"), F.col("label").alias("_lb")), ["b"], hot, F.col("a"), "left")
+    between = here.select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b")).where("a <> b").distinct()
+    up = components(between, "merged")
+    every = written(of.union(up.select("uid", F.col("uid").alias("label")).join(of, "uid", "left_anti")), "merging")
+    hot = hot_keys(every.groupBy("label").count(), ["label"], "count", every.count())
+    moved = salted_join(every, up.select(F.col("uid").alias("label"), F.col("label").alias("_up")), ["label"], hot, F.col("uid"), "left")
+    return written(moved.select("uid", F.coalesce("_up", "label").alias("label")), "labels")
+
+
 def _centres(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges (a, b) to a second hub of each star whose members are in several components: one for each other member.
 
@@ -177,7 +196,8 @@ def _centres(found: DataFrame, labels: DataFrame) -> DataFrame:
     of = labels.select("uid", "label")
     m = found.join(of.select(F.col("uid").alias("a"), F.col("label").alias("_l")), "a", "left").withColumn("la", F.coalesce("_l", "a"))
     mixed = m.groupBy("b").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("b", "n")
-    m = written(m.join(mixed, "b").select("a", "b", "inter", "rest", "n"), "mixed")
+    mixed = written(mixed, "mixed-hubs")
+    m = written(salted_join(m, mixed, ["b"], hot_keys(mixed, ["b"], "n", found.count()), F.col("a")).select("a", "b", "inter", "rest", "n"), "mixed")
     posts = m.select("a", "b", F.explode("rest").alias("s"))
     common = posts.groupBy("b", "s").count().where("count > 1")
     near = posts.join(common, ["b", "s"]).groupBy("a", "b").agg(F.sum("count").alias("far"))
@@ -204,8 +224,9 @@ def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
     of = labels.select(F.col("uid"), "label")
     m = found.join(of.select(F.col("uid").alias("a"), F.col("label").alias("_la")), "a", "left").join(of.select(F.col("uid").alias("b"), F.col("label").alias("_lb")), "b", "left")
     m = m.withColumns({"la": F.coalesce("_la", "a"), "lb": F.coalesce("_lb", "b")})
-    mixed = m.groupBy("b").agg(F.min(F.least("la", "lb")).alias("lo"), F.max(F.greatest("la", "lb")).alias("hi"), F.min("na").alias("least_n")).where("lo <> hi").select("b", "least_n")
-    m = written(m.join(mixed, "b").join(mine, "a").select("a", F.col("b").alias("hub"), "la", "na", "nb", "inter", "rest", "least_n", "hubs", "near", (~_is_link()).alias("out")), "members")
+    mixed = m.groupBy("b").agg(F.min(F.least("la", "lb")).alias("lo"), F.max(F.greatest("la", "lb")).alias("hi"), F.min("na").alias("least_n"), F.count("*").alias("n")).where("lo <> hi").select("b", "least_n", "n")
+    mixed = written(mixed, "mixed-hubs")
+    m = written(salted_join(m, mixed.drop("n"), ["b"], hot_keys(mixed, ["b"], "n", found.count()), F.col("a")).join(mine, "a").select("a", F.col("b").alias("hub"), "la", "na", "nb", "inter", "rest", "least_n", "hubs", "near", (~_is_link()).alias("out")), "members")
 
     def here(b: str):
         """Whether a pair is sought under this hub; hubs of a member are BANDS at most."""
@@ -268,16 +289,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = members.join(known, "uid").groupBy("band").agg(F.max_by("uid", F.struct("pull", -F.col("uid"))).alias("b"))
     edges = salted_join(members.select("band", F.col("uid").alias("a")), hubs, ["band"], crowded, F.col("a")).where("a <> b").select("a", "b").distinct()
     found = _compared(edges, sets, True, "stars")
-    links = found.where(_is_link()).select("a", "b")
-    labels = components(links)
+    labels = components(found.where(_is_link()))
     second = _compared(_centres(found, labels), sets, True, "centres")
     if not second.isEmpty():
         found = written(found.union(second), "stars")
-        links = found.where(_is_link()).select("a", "b")
-        labels = components(links)
+        labels = _merged(labels, second.where(_is_link()))
     more = _compared(_across(found, labels), sets, False, "across").where(_is_link()).select("a", "b")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = _merged(labels, more)
     of = classes.select("uid", "k1", "k2", "rep", "copies").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     of = written(of.select("uid", "k1", "k2", "rep", "copies", "label"), "labelled")
     least = written(of.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "least")
