@@ -96,6 +96,21 @@ def test_search_join_is_containment(spark):
     assert sorted(map(tuple, search.search_join(r, c).collect())) == want
 
 
+def test_search_join_of_long_texts_and_ids_that_repeat(spark):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
+    rows = [(1, long), (1, "w5x5 alone"), (2, long.upper()), (3, "none")]
+    asked = [(0, "w5x5"), (1, "w976x1953 w0x1954"), (2, "w976x1953w"), (3, "o")]
+    c, r = spark.createDataFrame(rows, "id long, title string"), spark.createDataFrame(asked, "request_id long, q string")
+    want = sorted((k, i) for k, q in asked for i, t in rows if q in t.lower())
+    assert sorted(map(tuple, search.search_join(r, c).collect())) == want
+
+
+def test_a_repeated_episode_names_a_clip_once(spark):
+    e = spark.createDataFrame([(1, "first", "f", "u", 0), (1, "second", "g", "v", 1)], "id long, title string, feed_title string, enclosure_url string, pos long")
+    r = spark.createDataFrame([(9, 1, "0-10")], "request_id long, episode_id long, interval_text string")
+    assert [x.clip_title for x in clips.named(clips.validate(r, e)).collect()] == ["f - first (0-10)"]
+
+
 def test_slices_equal_plain_join(spark):
     import random
 

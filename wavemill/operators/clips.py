@@ -10,11 +10,13 @@ from .lookup import select_first
 
 
 def validate(requests: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Requests with url, start_sec, end_sec, status and whether a retry may help.
+    """Requests with url, title (and feed_title, if episodes have it), start_sec, end_sec, status and whether a retry may help.
 
+    Of episodes that repeat an id the first (by pos) counts, so a request stays one row.
     In order: no_url ends the session, bad_interval and not_after may be tried again, too_long ends it, else ok.
     """
-    df = intervals.parsed(select_first(requests, episodes, "episode_id"))
+    wanted = tuple(c for c in ("enclosure_url", "title", "feed_title") if c in episodes.columns)
+    df = intervals.parsed(select_first(requests, episodes, "episode_id", wanted))
     checked = intervals.status(F.col("start_sec"), F.col("end_sec"))
     long = F.col("end_sec") - F.col("start_sec") > intervals.LONGEST
     status = F.when(F.col("enclosure_url").isNull(), "no_url").when(checked != "ok", checked).when(long, "too_long").otherwise("ok")

@@ -76,8 +76,7 @@ def clip_validate(s, d):
 
 
 def named_clips(s, d):
-    e = episodes(s, d).select(F.col("id").alias("episode_id"), "feed_title")
-    return clips.named(_validated(s, d).join(e, "episode_id", "left"))
+    return clips.named(_validated(s, d))
 
 
 def clip_filename(s, d):
