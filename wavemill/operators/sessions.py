@@ -22,6 +22,8 @@ TRANSITIONS = (
     ("PODCAST_CHOICE", "text_one", "EPISODE_CHOICE"),
     ("PODCAST_CHOICE", "text_one_empty", "ENTER_EPISODE_NAME"),
     ("PODCAST_CHOICE", "text_none", "ENTER_PODCAST_NAME"),
+    ("PODCAST_CHOICE", "page_one", "EPISODE_CHOICE"),
+    ("PODCAST_CHOICE", "page_one_empty", "ENTER_EPISODE_NAME"),
     ("PODCAST_CHOICE", "page_none", "ENTER_PODCAST_NAME"),
     ("PODCAST_CHOICE", "id", "EPISODE_CHOICE"),
     ("PODCAST_CHOICE", "id_empty", "ENTER_EPISODE_NAME"),
@@ -35,6 +37,8 @@ TRANSITIONS = (
     ("GLOBAL_EPISODE_CHOICE", "id", "CUT_INTERVAL"),
     ("CUT_INTERVAL", "interval_ok", "END"),
     ("CUT_INTERVAL", "interval_no_url", "END"),
+    ("CUT_INTERVAL", "interval_too_long", "END"),
+    ("CUT_INTERVAL", "interval_failed", "END"),
     *((state, "cancel", "END") for state in STATES[1:]),
 )
 #: Updates of a user that are folded at once at most (by update_id), and partial folds that are put together at once.
