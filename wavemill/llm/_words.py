@@ -54,15 +54,15 @@ def pieces(texts: pa.Array, most: int = 1 << 18) -> Iterator[pa.Array]:
 class Words:
     """data: bytes; off: of each text, and the end; start, end: of each word; doc: its text; first: each text's first word, and the end."""
 
-    def __init__(self, texts: pa.Array, kind: np.ndarray | None = None):
-        """``kind``: a number for each byte; between bytes of kinds 1 and 2, either way round, a word also ends."""
+    def __init__(self, texts: pa.Array, kind: np.ndarray | None = None, space: np.ndarray = SPACE):
+        """``kind``: a number for each byte; between bytes of kinds 1 and 2, either way round, a word also ends. ``space``: which bytes stand between words."""
         self.kind = kind
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         self.off = off - off[0]
         n = len(self.data)
-        inked = ~SPACE[self.data]
+        inked = ~space[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.off] = True
         starts, ends = inked.copy(), inked.copy()

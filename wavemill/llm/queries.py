@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, html, neardup, packing, pii, quality, sharding, substring, toxicity, urls
+from . import decontam, divergence, html, neardup, packing, pii, quality, sharding, substring, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_pii": lambda s, d: pii.digest(_table(s, d, "documents")),
     "op9_url_filters": lambda s, d: urls.digest(_table(s, d, "pages")),
     "op10_decontamination": lambda s, d: decontam.digest(_table(s, d, "documents"), _table(s, d, "benchmark")),
+    "op11_source_divergence": lambda s, d: divergence.source_divergence(_table(s, d, "documents")),
 }
 
-SQL = {"op3_neardup": neardup.SQL, "op5_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL}
+SQL = {"op3_neardup": neardup.SQL, "op5_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL, "op11_source_divergence": divergence.SQL}
