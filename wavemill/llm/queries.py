@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, divergence, html, lexical, neardup, packing, pii, quality, sharding, substring, toxicity, urls
+from . import decontam, divergence, html, lexical, neardup, packing, pii, quality, sharding, substring, suffixes, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
@@ -23,7 +23,8 @@ QUERIES = {
     "op9_url_filters": lambda s, d: urls.digest(_table(s, d, "pages")),
     "op10_decontamination": lambda s, d: decontam.digest(_table(s, d, "documents"), _table(s, d, "benchmark")),
     "op11_source_divergence": lambda s, d: divergence.source_divergence(_table(s, d, "documents")),
+    "op12_suffix_dedup": lambda s, d: suffixes.digest(_table(s, d, "documents")),
     "op13_lexical_search": lambda s, d: lexical.search(_table(s, d, "documents"), _table(s, d, "benchmark")),
 }
 
-SQL = {"op3_neardup": neardup.SQL, "op5_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL, "op11_source_divergence": divergence.SQL, "op13_lexical_search": lexical.SQL}
+SQL = {"op3_neardup": neardup.SQL, "op5_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL, "op11_source_divergence": divergence.SQL, "op12_suffix_dedup": suffixes.SQL, "op13_lexical_search": lexical.SQL}
