@@ -170,8 +170,9 @@ def term_counts(docs: DataFrame, least: int = LEAST, most: int = SLICE) -> DataF
     kind = "lang string, source string, term string, n long, d long"
     found = _plain(docs).mapInArrow(_partial(most), kind).repartition("lang", "term")
     each = found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    all_ = each.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("d").alias("d_lang"), F.min("source").alias("_least")).where(F.col("d_lang") >= least)
-    return each.join(all_, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang", "d_lang", (F.col("source") == F.col("_least")).alias("first"))
+    all_ = W.partitionBy("lang", "term")  # a row a source
+    each = each.withColumns({"n_lang": F.sum("n").over(all_), "d_lang": F.sum("d").over(all_), "first": F.col("source") == F.min("source").over(all_)})
+    return each.where(F.col("d_lang") >= least).select("lang", "source", "term", "n", "n_lang", "d_lang", "first")
 
 
 def _share(n: str, total: str, terms: str = "v") -> Column:
