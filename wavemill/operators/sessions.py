@@ -56,6 +56,11 @@ def symbol(kind: Column, payload: Column) -> Column:
     return out.when(payload.startswith("/"), "command_other").otherwise("text")
 
 
+def typed(kind: Column, payload: Column) -> Column:
+    """Whether an update is text that a step reads: no callback, no command. A button's text is one, but for Help, which is answered in any state."""
+    return (kind != "callback") & ~payload.startswith("/") & (payload != "Help")
+
+
 _MOVES = {(a, s): b for a, s, b in TRANSITIONS}
 SYMBOLS = tuple(sorted({s for _, s, _ in TRANSITIONS}))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators.sessions import STATES, SYMBOLS, TRANSITIONS
 from . import views
 
-_V = {name: views.sql(getattr(views, name)) for name in ("FEEDS", "EPISODES", "SEARCHES", "CLIP_REQUESTS", "SEGMENTS", "UPDATES", "RAW_UPDATES")}
-FEEDS, EPISODES, SEARCHES, CLIPS, SEGMENTS, UPDATES, RAW_UPDATES = _V.values()
+_V = {name: views.sql(getattr(views, name)) for name in ("FEEDS", "EPISODES", "SEARCHES", "CLIP_REQUESTS", "SEGMENTS", "UPDATES", "RAW_UPDATES", "SHOWS", "RAW_LOG")}
+FEEDS, EPISODES, SEARCHES, CLIPS, SEGMENTS, UPDATES, RAW_UPDATES, SHOWS, RAW_LOG = _V.values()
 
 
 def _int(x: str) -> str:
@@ -43,14 +42,72 @@ _AUTHOR = f"(select *, 1 + cast(right(author, 1) as bigint) % 3 as page, row_num
 _REQUEST = "author || '/' || cast(id // 1000 as varchar)"
 _AGO = "timestamp '2024-01-24 00:00:00'"
 
-_CODE = {s: i + 1 for i, s in enumerate(SYMBOLS)}
-_MOVE = "case (a & 7) * 32 + x " + " ".join(f"when {STATES.index(f) * 32 + _CODE[s]} then {STATES.index(t)}" for f, s, t in TRANSITIONS) + " else a & 7 end"
-_STEP = f"({_MOVE}) + (((a >> 3) & 255) | (1 << ({_MOVE}))) * 8 + ((a >> 11) + case when (a & 7) = 7 and x = {_CODE['interval_ok']} then 1 else 0 end) * 2048"
-_CODES = "case symbol " + " ".join(f"when '{s}' then {c}" for s, c in _CODE.items()) + " else 0 end"
-_NAMES = "case acc & 7 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(STATES)) + " end"
-FOLD = f"""(select user_id, n_updates, {_NAMES} as final_state, (acc >> 3) & 255 as reached, acc >> 11 as finished from (
-  select user_id, count(*) as n_updates, list_reduce(list_prepend(cast(0 as bigint), list(cast({_CODES} as bigint) order by update_id)), lambda a, x: cast({_STEP} as bigint)) as acc
-  from {UPDATES} group by user_id))"""
+#: Steps by number and what leads from one to another, written out here and not taken from the operators.
+STEPS = "END ENTER_PODCAST_NAME PODCAST_CHOICE ENTER_EPISODE_NAME EPISODE_CHOICE ENTER_GLOBAL_SEARCH GLOBAL_EPISODE_CHOICE CUT_INTERVAL".split()
+_NEXT = """case
+  when x = 'cancel' then 0
+  when s = 0 and x = 'cut' then 1 when s = 0 and x = 'search' then 5
+  when s = 2 and x = 'id' then 4 when s in (4, 6) and x = 'id' then 7
+  when s = 1 and x = 'text_many' then 2 when s = 5 and x = 'text_many' then 6
+  when s = 2 and x = 'text_none' then 1 when s = 6 and x = 'text_none' then 5
+  when s = 7 and x = 'interval_ok' then 0 else s end"""
+FOLD = f"""(with recursive u as materialized (select user_id, symbol as x, row_number() over (partition by user_id order by update_id) as k from {UPDATES}),
+  r as (select distinct user_id, cast(0 as bigint) as k, 0 as s, cast(0 as bigint) as reached, cast(0 as bigint) as finished from u
+    union all select user_id, k, s, reached | (1 << s), finished + done from (
+      select r.user_id, u.k, {_NEXT} as s, reached, finished, cast(s = 7 and x = 'interval_ok' as bigint) as done from r join u on u.user_id = r.user_id and u.k = r.k + 1))
+  select user_id, max(k) as n_updates, list_extract({STEPS!r}, arg_max(s, k) + 1) as final_state, arg_max(reached, k) as reached, arg_max(finished, k) as finished from r group by user_id)"""
+
+_TYPED = "kind <> 'callback' and not starts_with(payload, '/') and payload <> 'Help'"
+_SYMBOL = """case when kind = 'callback' then case payload when 'next_page' then 'next' when 'prev_page' then 'prev' else 'id' end
+  when payload in ('Search Podcast by Name', '/cut_podcast') then 'cut' when payload = 'Search Episodes Globally' then 'search' when payload = '/trending' then 'trending'
+  when payload = 'Surprise Me' then 'surprise' when payload = '/cancel' then 'cancel' when payload in ('Help', '/start') then 'help' when starts_with(payload, '/') then 'command_other' else 'text' end"""
+_HELD = "(contains(lower(e.title), {0}) or contains(lower(e.description), {0}) or contains(lower(e.author), {0}) or contains(lower(e.feed_title), {0}))"
+_TIME = f"""select payload, case when a is null or b is null or a >= b then 'bad' when b - a > 900 then 'too_long' else 'ok' end as timed from (
+  select payload, {_seconds("a")} as a, {_seconds("b")} as b from (select payload, {_START.replace("interval_text", "payload")} as a, {_END.replace("interval_text", "payload")} as b from t))"""
+#: The raw log replayed one update of each user at a time.
+REPLAY = f"""(with recursive l as materialized (select update_id, user_id, kind, payload, {_SYMBOL} as x, {_TYPED} as typed, row_number() over (partition by user_id order by update_id) as k from {RAW_LOG}),
+  e as materialized (select * from {EPISODES}), t as materialized (select distinct payload from l where typed), tq as materialized (select payload from t where payload <> ''), sizes as materialized (select feed_id, count(*) as n from e group by feed_id),
+  tf as materialized (select payload, count(*) as n_feeds, min(f.id) as one_feed from tq as t join {SHOWS} f on contains(lower(f.title), lower(payload)) or contains(lower(f.author), lower(payload)) group by payload),
+  tg as materialized (select payload, count(*) as n_all from tq as t join e on {_HELD.format("lower(payload)")} group by payload),
+  tt as materialized ({_TIME}),
+  ti as materialized (select payload, cast(e.feed_id as varchar) as feed, count(*) as n, min(e.id) as id, min(enclosure_url) as url, min(e.title) as title from tq as t join e on contains(lower(e.title), lower(payload)) group by all),
+  u as materialized (select l.*, coalesce(n_feeds, 0) as n_feeds, cast(one_feed as varchar) as one_feed, coalesce(s1.n, 0) as one_n, coalesce(n_all, 0) as n_all, timed, coalesce(s2.n, 0) as feed_n, cast(e.feed_id as varchar) as e_feed, e.enclosure_url as e_url, e.title as e_title,
+      e.description as e_description, e.author as e_author, e.feed_title as e_tags
+    from l left join tf on typed and tf.payload = l.payload left join sizes s1 on s1.feed_id = one_feed and n_feeds = 1 left join tg on typed and tg.payload = l.payload left join tt on typed and tt.payload = l.payload
+    left join sizes s2 on x = 'id' and s2.feed_id = try_cast(l.payload as bigint) left join e on x = 'id' and e.id = try_cast(l.payload as bigint)),
+  lucky as materialized (select cast(id as varchar) as id, enclosure_url, title from e order by md5('7:' || cast(id as varchar)), id limit 1),
+  r as (
+    select distinct user_id, cast(null as bigint) as update_id, cast(0 as bigint) as k, '' as b, 'END' as was, 'END' as s, cast(null as varchar) as q, cast(null as bigint) as page, cast(null as varchar) as feed, cast(null as varchar) as episode, cast(null as varchar) as url, cast(null as varchar) as title, cast(0 as bigint) as size from l
+    union all
+    select user_id, update_id, k, b, s,
+      case when b in ('cut', 'feed_none', 'feed_page_none') then 'ENTER_PODCAST_NAME' when b in ('search', 'all_none', 'all_page_none') then 'ENTER_GLOBAL_SEARCH' when b in ('trending', 'feed_many') then 'PODCAST_CHOICE'
+        when b in ('surprise', 'in_one', 'pick') then 'CUT_INTERVAL' when b in ('cancel', 'no_url', 'ok', 'too_long') then 'END' when b in ('feed_one', 'open') then 'EPISODE_CHOICE'
+        when b in ('feed_one_empty', 'open_empty', 'in_page_none') then 'ENTER_EPISODE_NAME' when b = 'all_many' then 'GLOBAL_EPISODE_CHOICE' else s end,
+      case when b in ('cut', 'search', 'trending', 'surprise', 'cancel', 'no_url', 'ok', 'too_long') then null when b like 'feed_%' and b <> 'feed_page_none' or b like 'all_%' and b <> 'all_page_none' then payload else q end,
+      case when b in ('cut', 'search', 'surprise', 'cancel', 'no_url', 'ok', 'too_long') then null when b = 'trending' or b like 'feed_%' or b in ('all_many', 'all_none', 'open', 'open_empty') then 1 when b in ('page', 'in_page_none', 'all_page_none') then page + d else page end,
+      case when b in ('cut', 'search', 'trending', 'surprise', 'cancel', 'no_url', 'ok', 'too_long') then null when b in ('feed_one', 'feed_one_empty') then one_feed when b in ('open', 'open_empty') then payload else feed end,
+      case when b in ('cut', 'search', 'trending', 'cancel', 'no_url', 'ok', 'too_long') then null when b = 'surprise' then l_id when b = 'in_one' then cast(i_id as varchar) when b = 'pick' then payload else episode end,
+      case when b in ('cut', 'search', 'trending', 'cancel', 'no_url', 'ok', 'too_long') then null when b = 'surprise' then l_url when b = 'in_one' then i_url when b = 'pick' and picked then e_url else url end,
+      case when b in ('cut', 'search', 'trending', 'cancel', 'no_url', 'ok', 'too_long') then null when b = 'surprise' then l_title when b = 'in_one' then i_title when b = 'pick' and picked then e_title else title end,
+      case when b in ('feed_one', 'feed_one_empty') then one_n when b in ('open', 'open_empty') then feed_n when b in ('all_many', 'all_none') then n_all else size end
+    from (
+      select r.user_id, u.update_id, u.k, r.s, r.q, r.page, r.feed, r.episode, r.url, r.title, r.size, u.payload, one_feed, one_n, feed_n, n_all, e_url, e_title, ti.id as i_id, ti.url as i_url, ti.title as i_title, lucky.id as l_id, lucky.enclosure_url as l_url, lucky.title as l_title,
+        case x when 'next' then 1 else -1 end as d,
+        case when s = 'EPISODE_CHOICE' then coalesce(e_feed = r.feed, false) else coalesce(contains(lower(e_title), lower(r.q)) or contains(lower(e_description), lower(r.q)) or contains(lower(e_author), lower(r.q)) or contains(lower(e_tags), lower(r.q)), false) and r.q <> '' end as picked,
+        case when x in ('help', 'command_other') then 'same' when s = 'END' then case when x in ('cut', 'search', 'trending', 'surprise') then x else 'same' end when x = 'cancel' then x
+          when typed then case
+            when s in ('ENTER_PODCAST_NAME', 'PODCAST_CHOICE') then case when n_feeds = 1 and one_n > 0 then 'feed_one' when n_feeds = 1 then 'feed_one_empty' when n_feeds > 1 then 'feed_many' else 'feed_none' end
+            when s in ('ENTER_GLOBAL_SEARCH', 'GLOBAL_EPISODE_CHOICE') then case when n_all > 0 then 'all_many' else 'all_none' end
+            when s = 'EPISODE_CHOICE' then case coalesce(ti.n, 0) when 0 then 'in_none' when 1 then 'in_one' else 'in_many' end
+            when s = 'CUT_INTERVAL' then case when coalesce(r.url, '') = '' then 'no_url' else timed end else 'same' end
+          when x = 'id' then case s when 'PODCAST_CHOICE' then case when feed_n > 0 then 'open' else 'open_empty' end when 'EPISODE_CHOICE' then 'pick' when 'GLOBAL_EPISODE_CHOICE' then 'pick' else 'same' end
+          when x in ('next', 'prev') then case s when 'PODCAST_CHOICE' then case when r.q is not null and r.page + (case x when 'next' then 1 else -1 end) >= 1 then 'page' else 'feed_page_none' end
+            when 'EPISODE_CHOICE' then case when r.page + (case x when 'next' then 1 else -1 end) >= 1 and 5 * (r.page + (case x when 'next' then 1 else -1 end) - 1) < r.size then 'page' else 'in_page_none' end
+            when 'GLOBAL_EPISODE_CHOICE' then case when r.page + (case x when 'next' then 1 else -1 end) >= 1 and 5 * (r.page + (case x when 'next' then 1 else -1 end) - 1) < r.size then 'page' else 'all_page_none' end else 'same' end
+          else 'same' end as b
+      from r join u on u.user_id = r.user_id and u.k = r.k + 1 left join ti on u.typed and ti.payload = u.payload and ti.feed = r.feed cross join lucky))
+  select user_id, update_id, was as before, case when b in ('cut', 'search', 'trending', 'surprise') then 'start' when b like '%page_none' then 'page_none' when b like '%one_empty' then 'one_empty' when b in ('open', 'pick') then 'id' when b = 'open_empty' then 'id_empty'
+      when b in ('no_url', 'too_long') then b when regexp_matches(b, '^(feed|all|in)_') then regexp_replace(b, '^(feed|all|in)_', '') else b end as outcome, s as after, q, page, feed, episode, url, title from r where k > 0)"""
 
 SQL = {
     "envelope_explode": f"""select {_REQUEST} as request, row_number() over (partition by author, id // 1000 order by id) - 1 as pos, id, title, author, last_update_time
@@ -98,7 +155,14 @@ SQL = {
         when starts_with(payload, '/') then 'command_other' else 'text' end as symbol from {RAW_UPDATES}""",
     "session_fold": f"select * from {FOLD}",
     "session_stream": f"select * from {FOLD}",
+    "session_log": f"select * from {REPLAY}",
+    "session_states": f"""select user_id, count(*) as n_updates, arg_max(after, update_id) as final_state, bit_or(cast(1 << (list_position({STEPS!r}, after) - 1) as bigint)) as reached,
+        cast(sum(cast(before = 'CUT_INTERVAL' and outcome = 'ok' as bigint)) as bigint) as finished from {REPLAY} group by user_id""",
+    "session_context": f"""select user_id, after as state, q, page, feed, episode, url, title from (select *, row_number() over (partition by user_id order by update_id desc) as n from {REPLAY}) where n = 1""",
+    "session_rates": f"""select step, updates, users, errors, cancels, finished, 1000 * errors // updates as errors_permille, 1000 * cancels // updates as cancels_permille, 1000 * finished // updates as finished_permille from (
+        select before as step, count(*) as updates, count(distinct user_id) as users, count(*) filter (where outcome in ('none', 'page_none', 'one_empty', 'id_empty', 'no_url', 'bad', 'too_long')) as errors,
+          count(*) filter (where outcome = 'cancel') as cancels, count(*) filter (where before = 'CUT_INTERVAL' and outcome = 'ok') as finished from {REPLAY} group by before)""",
     "session_funnel": "select step, sum(hit) as users from ("
-    + " union all ".join(f"select '{s}' as step, cast((reached & {1 << i}) > 0 as bigint) as hit from {FOLD}" for i, s in enumerate(STATES))
+    + " union all ".join(f"select '{s}' as step, cast((reached & {1 << i}) > 0 as bigint) as hit from {FOLD}" for i, s in enumerate(STEPS))
     + f" union all select 'FINISHED', cast(finished > 0 as bigint) from {FOLD}) group by step",
 }

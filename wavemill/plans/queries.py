@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, labels
-from ..operators import clips, lookup, paging, search, sessions, trending
+from ..operators import clips, lookup, outcomes, paging, replay, search, sessions, trending
 from ..sources import envelopes
 from ..streaming import jobs
 from . import views
@@ -194,6 +194,30 @@ def session_funnel(s, d):
     return sessions.funnel(session_fold(s, d))
 
 
+def _searchable(s, d):
+    return episodes(s, d).withColumn("tags", F.array_join(F.array("author", "feed_title"), "\0"))
+
+
+def _raw_log(s, d):
+    return view(s, d, views.RAW_LOG).select("update_id", "user_id", F.inline(F.array(F.struct("kind", "payload"))))
+
+
+def session_log(s, d):
+    return replay.transitions(outcomes.with_outcomes(_raw_log(s, d), view(s, d, views.SHOWS), _searchable(s, d)))
+
+
+def session_states(s, d):
+    return replay.states(session_log(s, d))
+
+
+def session_context(s, d):
+    return replay.contexts(session_log(s, d))
+
+
+def session_rates(s, d):
+    return replay.rates(session_log(s, d))
+
+
 def _stream_of(s, d, text):
     return s.sql(text, events=jobs.events(s, d))
 
@@ -221,6 +245,6 @@ QUERIES = {
     for f in (
         envelope_explode, envelope_status, clip_manifest, label_global, label_feed, clip_filename, preview3, title_contains, feed_search, person_search, clip_validate,
         update_symbols, select_episode, title_lookup, feed_episodes, feed_no_episodes, search_join, clip_slice, match_count, match_outcome, trending_topk, freshest_feed,
-        episode_page, feed_page, feed_page_tail, first5, random_episode, parse_interval, session_fold, session_funnel, clip_stream, trending_stream, session_stream,
+        episode_page, feed_page, feed_page_tail, first5, random_episode, parse_interval, session_fold, session_funnel, session_log, session_states, session_context, session_rates, clip_stream, trending_stream, session_stream,
     )
 }
