@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from . import views
 
-_V = {name: views.sql(getattr(views, name)) for name in ("FEEDS", "EPISODES", "SEARCHES", "CLIP_REQUESTS", "SEGMENTS", "UPDATES", "RAW_UPDATES", "SHOWS", "RAW_LOG")}
-FEEDS, EPISODES, SEARCHES, CLIPS, SEGMENTS, UPDATES, RAW_UPDATES, SHOWS, RAW_LOG = _V.values()
+_V = {name: views.sql(getattr(views, name)) for name in ("FEEDS", "EPISODES", "SEARCHES", "CLIP_REQUESTS", "SEGMENTS", "UPDATES", "RAW_UPDATES", "SHOWS", "RAW_LOG", "PAGE_REQUESTS")}
+FEEDS, EPISODES, SEARCHES, CLIPS, SEGMENTS, UPDATES, RAW_UPDATES, SHOWS, RAW_LOG, PAGES = _V.values()
 
 
 def _int(x: str) -> str:
@@ -136,10 +136,15 @@ SQL = {
     "feed_episodes": f"select request_id, feed_id, e.id as episode_id from {SEARCHES} r join {EPISODES} e using (feed_id)",
     "feed_no_episodes": f"select request_id, request_id % 40 as feed_id from {SEARCHES} r where not exists (select 1 from {EPISODES} e where e.feed_id = r.request_id % 40)",
     "episode_page": f"""select request_id, id, rn, n > 5 * page as has_next, page > 1 as has_prev, 'ep ' || coalesce(title, 'Episode') as label
-        from {RANKED} where page between 1 and 3 and rn > 5 * (page - 1) and rn <= 5 * page""",
+        from {RANKED} where page >= 1 and rn > 5 * (page - 1) and rn <= 5 * page""",
     "feed_page": f"select author, id, rn, n > 5 * page as has_next, page > 1 as has_prev from {_AUTHOR} where rn > 5 * (page - 1) and rn <= 5 * page",
     "feed_page_tail": f"""select author, id, rn, n > 5 * page as has_next, page > 1 as has_prev
         from {_AUTHOR} where rn > greatest(least(n, 5 * page + 1) - 5, 0) and rn <= least(n, 5 * page + 1)""",
+    "deep_page": f"""select request_id, event_id, rn, n > 5 * page as has_next, page > 1 as has_prev from {PAGES} r join (
+        select event_type, event_id, row_number() over (partition by event_type order by event_id) as rn, count(*) over (partition by event_type) as n from events) e using (event_type)
+        where page >= 1 and rn > 5 * (page - 1) and rn <= 5 * page""",
+    "page_status": f"""select request_id, page, case when page < 1 then 'bad_page' when 5 * (page - 1) >= coalesce(n, 0) then 'empty' else 'ok' end as status, coalesce(n, 0) as total
+        from {PAGES} left join (select event_type, count(*) as n from events group by event_type) using (event_type)""",
     "first5": f"select request_id, id, rn from {RANKED} where rn <= 5",
     "preview3": f"select request_id, n, rn, feed_title, title, enclosure_url from {RANKED} where rn <= 3",
     "random_episode": f"select id, feed_title, title from {EPISODES} order by md5('7:' || cast(id as varchar)), id limit 1",

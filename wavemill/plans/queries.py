@@ -13,8 +13,6 @@ from . import views
 from .views import view
 
 AS_OF = ("2024-01-24 00:00:00", "2024-01-31 00:00:00")
-#: Pages that a request may ask for at most.
-MOST_PAGES = 3
 
 
 def feeds(s: SparkSession, d: str) -> DataFrame:
@@ -137,26 +135,45 @@ def feed_no_episodes(s, d):
     return lookup.without_episodes(r, episodes(s, d))
 
 
-def _matches(s, d):
-    return search_join(s, d).join(searches(s, d).select("request_id", "page"), "request_id")
+def _landed(s, df, name):
+    """``df`` written to the shared folder and read again, for what reads it more than once."""
+    path = jobs.folder(s, name)
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
 
 
 def episode_page(s, d):
-    out = paging.pages(_matches(s, d), ["request_id"], ["id"], F.col("page"), MOST_PAGES)
+    found = _landed(s, search_join(s, d), "found")
+    out = paging.any_pages(searches(s, d).select("request_id", "page"), found, ["request_id"], ["id"])
     e = episodes(s, d).select("id", "title")
     return out.join(e, "id").select("request_id", "id", "rn", "has_next", "has_prev", labels.episode(F.col("title")).alias("label"))
 
 
-def _author_feeds(s, d):
-    return feeds(s, d).withColumn("page", 1 + F.substring("author", -1, 1).try_cast("bigint") % 3)
+def _author_pages(s, d):
+    """A request for each author, and feeds by author."""
+    rows = feeds(s, d).select("author", "id", "pos")
+    return rows.select("author", (1 + F.substring("author", -1, 1).try_cast("bigint") % 3).alias("page")).distinct(), rows
 
 
 def feed_page(s, d):
-    return paging.pages(_author_feeds(s, d), ["author"], ["pos"], F.col("page"), MOST_PAGES).select("author", "id", "rn", "has_next", "has_prev")
+    return paging.any_pages(*_author_pages(s, d), ["author"], ["pos"]).select("author", "id", "rn", "has_next", "has_prev")
 
 
 def feed_page_tail(s, d):
-    return paging.tail_pages(_author_feeds(s, d), ["author"], ["pos"], F.col("page"), MOST_PAGES).select("author", "id", "rn", "has_next", "has_prev")
+    return paging.any_pages(*_author_pages(s, d), ["author"], ["pos"], tail=True).select("author", "id", "rn", "has_next", "has_prev")
+
+
+def _page_requests(s, d):
+    """Pages from -1 to far beyond the end of each kind of update."""
+    return view(s, d, views.PAGE_REQUESTS), views.table(s, d, "events").select("event_type", "event_id")
+
+
+def deep_page(s, d):
+    return paging.any_pages(*_page_requests(s, d), ["event_type"], ["event_id"]).select("request_id", "event_id", "rn", "has_next", "has_prev")
+
+
+def page_status(s, d):
+    return paging.page_status(*_page_requests(s, d), ["event_type"]).select("request_id", "page", "status", "total")
 
 
 def first5(s, d):
@@ -164,10 +181,10 @@ def first5(s, d):
 
 
 def preview3(s, d):
-    m = search_join(s, d)
+    m = _landed(s, search_join(s, d), "found")
     top = paging.first(m, ["request_id"], ["id"], 3).select("request_id", "id", "rn")
     e = episodes(s, d).select("id", "feed_title", "title", "enclosure_url")
-    return top.join(e, "id").join(search.match_count(searches(s, d), m), "request_id").select("request_id", "n", "rn", "feed_title", "title", "enclosure_url")
+    return top.join(e, "id").join(m.groupBy("request_id").agg(F.count("*").alias("n")), "request_id").select("request_id", "n", "rn", "feed_title", "title", "enclosure_url")
 
 
 def random_episode(s, d):
@@ -245,6 +262,6 @@ QUERIES = {
     for f in (
         envelope_explode, envelope_status, clip_manifest, label_global, label_feed, clip_filename, preview3, title_contains, feed_search, person_search, clip_validate,
         update_symbols, select_episode, title_lookup, feed_episodes, feed_no_episodes, search_join, clip_slice, match_count, match_outcome, trending_topk, freshest_feed,
-        episode_page, feed_page, feed_page_tail, first5, random_episode, parse_interval, session_fold, session_funnel, session_log, session_states, session_context, session_rates, clip_stream, trending_stream, session_stream,
+        episode_page, feed_page, feed_page_tail, deep_page, page_status, first5, random_episode, parse_interval, session_fold, session_funnel, session_log, session_states, session_context, session_rates, clip_stream, trending_stream, session_stream,
     )
 }

@@ -48,6 +48,9 @@ RAW_UPDATES = """select event_id as update_id, user_id,
       when 5 then '/trending now' when 6 then 'Search Episodes Globally' when 7 then '/unknown' else concat('text ', event_type) end end as payload
 from {events}"""
 
+PAGE_REQUESTS = """select conv_id as request_id, case conv_id%5 when 0 then 'click' when 1 then 'error' when 2 then 'purchase' when 3 then 'signup' else 'view' end as event_type,
+  case when conv_id%9<3 then conv_id%9-1 else (conv_id%9)*(conv_id%50) end as page from {conversations} where role='user' and turn<=1"""
+
 #: Feeds with titles of their own, so that a search can find one, many or none.
 SHOWS = "select p_partkey as id, concat(p_name,' #',cast(p_partkey as varchar(20)),'.') as title, p_brand as author from {part}"
 
