@@ -188,27 +188,28 @@ def _between(weight: list[int], sums: list[int], least: float) -> list[int]:
     return kept
 
 
-def kept_lines(lines: list[tuple[str, bool, int]]) -> list[int]:
+def kept_lines(lines: list[tuple[str, bool, int]], aside: list[bool] | None = None) -> list[int]:
     """Places of the lines (text, in a main, characters of links) that stand between surge and dive points.
 
-    A line weighs its length less that of its links twice, in a part that is marked as article or main MARKED times its
-    length. Weights are summed over windows of WINDOW lines that don't cross the border of such a part. Text begins where
+    All lines of the page are measured, asides too. A line weighs its length less that of its links twice, in a part
+    that is marked as article or main MARKED times that. Weights are summed over windows of WINDOW lines that don't cross the border of such a part. Text begins where
     a window surges over a threshold, or with the weighty lines right before it, and ends before the first window without
     weight; between them every line stays, whatever its share of links. The threshold is SURGE or half of the page's
-    largest window, the lesser of them; on a page with marked lines, lines outside need the greater of them.
+    largest window, in which lines marked as ``aside`` count nothing, the lesser of them; on a page with marked lines, lines outside need the greater of them.
     """
     parts = [list(part) for _, part in groupby(range(len(lines)), key=lambda i: lines[i][1])]
-    weights = [[MARKED * len(lines[i][0]) if lines[i][1] else max(0, len(lines[i][0]) - 2 * lines[i][2]) for i in part] for part in parts]
+    weights = [[(MARKED if lines[i][1] else 1) * max(0, len(lines[i][0]) - 2 * lines[i][2]) for i in part] for part in parts]
     sums = [[sum(weight[i : i + WINDOW]) for i in range(len(weight))] for weight in weights]
-    bounds = SURGE, max(map(max, sums), default=0) / 2
+    own = [[0 if aside and aside[i] else w for i, w in zip(part, weight, strict=True)] for part, weight in zip(parts, weights, strict=True)]
+    bounds = SURGE, max((sum(weight[i : i + WINDOW]) for weight in own for i in range(len(weight))), default=0) / 2
     some = any(inside for _, inside, _ in lines)
     return [part[i] for part, weight, near in zip(parts, weights, sums, strict=True) for i in _between(weight, near, max(bounds) if some and not lines[part[0]][1] else min(bounds))]
 
 
 def main_text(html: str | None) -> str:
-    """The text between surge and dive points, lines joined by one newline; lines of menus and other asides are left out first."""
-    lines = [(text, inside, links) for text, off, inside, links in lines_of(html or "") if not off]
-    return "\n".join(lines[i][0] for i in kept_lines(lines))
+    """The text between surge and dive points, lines joined by one newline; of what is left there, lines of menus and other asides go."""
+    lines = lines_of(html or "")
+    return "\n".join(lines[i][0] for i in kept_lines([(text, inside, links) for text, _, inside, links in lines], [off for _, off, _, _ in lines]) if not lines[i][1])
 
 
 @F.arrow_udf(T.StringType())
