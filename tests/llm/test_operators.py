@@ -291,6 +291,18 @@ def test_quality(docs, none, labels):
     assert quality.digest(none, labels).count() == 0
 
 
+def test_documents_that_repeat_count_once_in_a_fit(spark):
+    texts = [(i, " ".join(f"w{(i * 7 + j * j) % 90}" + ("" if i % 2 else " #") for j in range(80))) for i in range(200)]
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)] * 2, "doc_id long, quality int, toxic int")
+    many = once.union(once).union(once).union(once)
+    one, four = quality.fit(once, labels, sample=200), quality.fit(many, labels, sample=200)
+    assert all(np.array_equal(one[k], four[k]) for k in one) and len(one["feature"]) > 0
+    kept = {r.doc_id: r.kept for r in quality.judge(many, four).collect()}
+    assert kept == {i: i % 2 == 1 for i in range(200)}
+    assert toxicity.fit(once, labels, sample=200) == toxicity.fit(many, labels, sample=200)
+
+
 def test_trees_are_right_and_monotone():
     rand = np.random.default_rng(0)
     x = rand.random((3000, 4))
@@ -335,7 +347,7 @@ def test_html_surge_and_dive():
 @settings(max_examples=300, deadline=None)
 def test_line_blocks_by_brute_force(given_):
     lines = [("x" * n, inside, n * link) for n, inside, link in given_]
-    weigh = lambda line: html.MARKED * len(line[0]) if line[1] else max(0, len(line[0]) - 2 * line[2])
+    weigh = lambda line: (html.MARKED if line[1] else 1) * max(0, len(line[0]) - 2 * line[2])
     side = [0] + [sum(a[1] != b[1] for a, b in zip(lines[:i], lines[1 : i + 1], strict=False)) for i in range(1, len(lines))]
     weight = [weigh(x) for x in lines]
     window = [sum(weight[j] for j in range(i, min(i + 3, len(lines))) if side[j] == side[i]) for i in range(len(lines))]
@@ -354,6 +366,16 @@ def test_line_blocks_by_brute_force(given_):
     assert html.kept_lines(lines) == sorted(want)
 
 
+def test_surge_and_dive_drop_what_no_mark_names():
+    text = "A long enough paragraph of text that tells a story without any links, so that its window surges over the limit."
+    menu = "".join(f"<div><a href=x{i}>page {i}</a></div>" for i in range(6))
+    lines = html.lines_of(f"{menu}<div>{text}</div><div>{text}</div>{menu}")
+    assert not any(off or inside for _, off, inside, _ in lines)
+    assert [lines[i][0] for i in html.kept_lines([(t, m, n) for t, _, m, n in lines])] == [text, text]
+    marked = html.lines_of(f"<article>{menu}<p>{text}<p>{text}{menu}</article>")  # in a marked part too
+    assert [marked[i][0] for i in html.kept_lines([(t, m, n) for t, _, m, n in marked])] == [text, text]
+
+
 def test_broken_pages_take_linear_time():
     import time
 

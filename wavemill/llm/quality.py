@@ -153,11 +153,13 @@ def _measured(model: dict | None):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """A model of ``label`` from at most ``sample`` labelled documents, those with the least hash of doc_id.
 
-    Null labels are left out. Without labels, or with labels all alike, the model is a constant that
+    Null labels are left out; rows that repeat a doc_id and label are one, of the least measures. Without labels, or with labels all alike, the model is a constant that
     keeps what passes the base rules.
     """
-    some = labels.select("doc_id", F.col(label).alias("_y")).where("doc_id is not null and _y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("m", _measured(None)(F.col("text"))).select("_y", *(F.col(f"m.{f}") for f in FEATURES)).orderBy("_y", *FEATURES).limit(2 * sample).toArrow().to_pandas()
+    some = labels.select("doc_id", F.col(label).alias("_y")).where("doc_id is not null and _y is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
+    measured = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("m", _measured(None)(F.col("text")))
+    once = measured.groupBy("doc_id", "_y").agg(F.min(F.struct(*(F.col(f"m.{f}").alias(f) for f in FEATURES))).alias("m"))
+    rows = once.select("_y", "m.*").toArrow().to_pandas().sort_values(["_y", *FEATURES])
     x, y = rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         x, y = x[:0], y[:0]
@@ -169,7 +171,8 @@ def judge(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") ->
 
     The base fails with under 50 words, or if over half of the words stand in three-word windows
     that the text has twice; then, or with a score under 0.5, a document isn't kept. Null and empty
-    texts have no words and fail. Each row is judged alone; columns of these names are replaced.
+    texts have no words and fail. Each row is judged alone, so rows that repeat are judged alike; very long texts are read whole, one at a time;
+    an empty table gives an empty one. Other columns pass, columns of these names are replaced.
     """
     docs = docs.withColumn("_m", _measured(model)(F.col(text)))
     docs = docs.withColumns({c: F.col(f"_m.{c}") for c in COUNTS} | {"quality_score": F.col("_m.score")}).drop("_m")

@@ -80,11 +80,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """A model of ``label`` from at most ``sample`` documents, labelled in ``labels``, with the least hash of doc_id.
 
     Features are ranked over the sample by Spark (a row per bucket comes to the driver, so
-    BUCKETS at most); then sentences keep the chosen ones only. Null labels are left out; without labels, or
+    BUCKETS at most); then sentences keep the chosen ones only. Rows that repeat a doc_id and label are one, of the least text, so
+    ``sample`` bounds what comes to the driver. Null labels are left out; without labels, or
     with labels all alike, the model gives every document the labels' mean (0 without any).
     """
-    some = labels.select("doc_id", F.col(label).alias("_y")).where("doc_id is not null and _y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "labelled")
+    some = labels.select("doc_id", F.col(label).alias("_y")).where("doc_id is not null and _y is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = written(labelled.groupBy("doc_id", "_y").agg(F.min("text").alias("text")), "labelled")
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not n or n1 in (0, n):
         return {"weights": {}, "bias": -np.inf, "floor": n1 / n if n else 0.0}
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             out.append([x for x in parts if x] + [[len(parts) - sum(map(bool, parts))]])  # last: how many have none
         return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
-    found = rows.select("_y", F.arrow_udf(bag, T.ArrayType(T.ArrayType(T.IntegerType())))(F.col("text")).alias("b")).toArrow().to_pandas()
+    found = rows.select("doc_id", "_y", F.arrow_udf(bag, T.ArrayType(T.ArrayType(T.IntegerType())))(F.col("text")).alias("b")).toArrow().to_pandas().sort_values(["doc_id", "_y"])
     bags = [[np.asarray(s, np.int64) for s in b[:-1]] for b in found["b"]]
     w, bias = train(bags, np.array([b[-1][0] for b in found["b"]], float), found["_y"].to_numpy(float), len(chosen))
     return {"weights": {int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, "bias": bias, "floor": 0.0}
@@ -114,7 +116,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     A sentence ends at ``.``, ``!``, ``?`` or a new line; spans count code points, end exclusive. Null and empty
     texts have no sentence: they score the model's floor (0 once trained). Each text is read whole
-    and alone; other columns pass, those two are replaced.
+    and alone, also a very long one, so rows that repeat score alike; an empty table gives an empty one. Other columns pass, those two are replaced.
     """
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
