@@ -152,6 +152,9 @@ SQL = {
         where ts >= {_AGO} and ts < timestamp '2024-01-31 00:00:00' group by 1 order by n desc, feed_id limit 10""",
     "trending_stream": """select strftime(day, '%Y-%m-%d') as day, feed_id, count(*) as n
         from (select cast(json_extract_string(props, '$.k') as bigint) as feed_id, unnest(generate_series(date_trunc('day', ts) - interval 6 day, date_trunc('day', ts), interval 1 day)) as day from events) group by all""",
+    "trending_top_stream": """select * from (select day, cast(row_number() over (partition by day order by n desc, feed_id) as bigint) as rank, feed_id, n from (
+        select strftime(day, '%Y-%m-%d') as day, feed_id, count(*) as n from (select cast(json_extract_string(props, '$.k') as bigint) as feed_id,
+          unnest(generate_series(date_trunc('day', ts) - interval 6 day, date_trunc('day', ts), interval 1 day)) as day from events) group by all)) where rank <= 10""",
     "freshest_feed": f"select id, title, last_update_time from {FEEDS} where last_update_time is not null order by last_update_time desc, pos limit 1",
     "update_symbols": f"""select update_id, case
         when kind = 'callback' then case payload when 'next_page' then 'next' when 'prev_page' then 'prev' else 'id' end

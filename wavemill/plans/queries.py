@@ -251,10 +251,16 @@ def trending_stream(s, d):
     return jobs.latest_windows(s, path).select(F.col("window_start").cast("date").cast("string").alias("day"), "feed_id", "n")
 
 
+def trending_top_stream(s, d):
+    path = jobs.folder(s, "trending")
+    jobs.trending(jobs.events(s, d), path)
+    return jobs.top_feeds(s, path).select(F.col("window_start").cast("date").cast("string").alias("day"), "rank", "feed_id", "n")
+
+
 def session_stream(s, d):
     path = jobs.folder(s, "sessions")
     jobs.session_states(_stream_of(s, d, views.UPDATES), path)
-    return jobs.latest_sessions(s, path)
+    return jobs.latest_sessions(s, path).drop("last_clip")
 
 
 QUERIES = {
@@ -262,6 +268,6 @@ QUERIES = {
     for f in (
         envelope_explode, envelope_status, clip_manifest, label_global, label_feed, clip_filename, preview3, title_contains, feed_search, person_search, clip_validate,
         update_symbols, select_episode, title_lookup, feed_episodes, feed_no_episodes, search_join, clip_slice, match_count, match_outcome, trending_topk, freshest_feed,
-        episode_page, feed_page, feed_page_tail, deep_page, page_status, first5, random_episode, parse_interval, session_fold, session_funnel, session_log, session_states, session_context, session_rates, clip_stream, trending_stream, session_stream,
+        episode_page, feed_page, feed_page_tail, deep_page, page_status, first5, random_episode, parse_interval, session_fold, session_funnel, session_log, session_states, session_context, session_rates, clip_stream, trending_stream, trending_top_stream, session_stream,
     )
 }
