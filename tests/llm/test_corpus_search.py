@@ -117,7 +117,7 @@ SHARED = [(200 + i, f"start {i} of a text. " + BASE[:130] + f" end {i * i} of it
 PERIODIC = [(300 + i, "ab" * (60 + i)) for i in range(4)] + [(310, "\0" * 90), (311, "\0" * 120), (300, "ab" * 70)]
 
 
-@pytest.mark.parametrize("hot, known, shard", [(1 << 16, 4_000_000, 2 << 20), (1, 4_000_000, 2000), (1 << 16, 0, 2000), (3, 0, 1)])
+@pytest.mark.parametrize("hot, known, shard", [(1 << 16, 4_000_000, 2 << 20), (1, 4_000_000, 2000), (1 << 16, 0, 2000), (3, 0, 1), (2, 150, 500)])
 def test_suffixes(spark, hot, known, shard):
     rows = [*ROWS, *FAMILY, *SHARED, *PERIODIC]
     df = spark.createDataFrame([(d, t, 1, b"x", [1], 5) for d, t in rows], "doc_id long, text string, seed long, bytes binary, spans array<int>, h long").repartition(5)

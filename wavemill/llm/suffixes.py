@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +29,12 @@ from ._words import _BYTE, U, _powers, mix
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that are worked on together, bytes of contexts in a shard, occurrences from which a seed's windows are dealt one by one.
-SLICE, SHARD, HOT = 4 << 20, 2 << 20, 1 << 16
-#: Repeated seeds that are broadcast at most; beyond, they are joined.
-KNOWN = 4_000_000
+SLICE, SHARD, HOT = 1 << 18, 1 << 20, 1 << 16
+#: Repeated seeds that are broadcast at once at most, nine bytes each, and how often texts are read for it; beyond, seeds are joined.
+KNOWN, ROUNDS = 8_000_000, 4
 #: Bytes of text to a bucket of seeds.
-BUCKET = 32 << 20
+BUCKET = 8 << 20
+_AGAIN = mix(_BYTE, 5)
 #: Stands for a null doc_id, which comes after all others.
 _NO_ID = (1 << 63) - 1
 
@@ -78,6 +80,12 @@ class Seeds:
         """A 64-bit hash of the bytes from each place."""
         return mix((self.total[at + size] - self.total[at]) * self.down[at] + np.asarray(size).astype(U), seed)
 
+    def strings_again(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Another hash, of other values for bytes: with the first one 128 bits."""
+        total = np.zeros(len(self.total), U)
+        np.cumsum(_AGAIN[self.data] * _powers(len(total))[0][: len(self.data)], out=total[1:])
+        return mix((total[at + size] - total[at]) * self.down[at] + np.asarray(size).astype(U), 1)
+
 
 def _runs(key: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order by key (the first counts most), and where runs of equal keys begin."""
@@ -191,8 +199,11 @@ def repeats(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarra
     return gone, cover.string[gone]
 
 
-def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows from and to, bytes and offsets of their texts: about ``most`` bytes, one text at least."""
+def _slices(batch: pa.RecordBatch, most: int, overlap: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Rows from and to, place in the text, bytes and offsets of their texts: about ``most`` bytes, one text at least.
+
+    With ``overlap``, a longer text comes in parts that share so many bytes, each with its place.
+    """
     texts = batch.column("text").cast(pa.large_string()).fill_null("")
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = texts.buffers()[2] if len(texts) else None
@@ -200,7 +211,13 @@ def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, np.nda
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-        yield at, to, data[off[at] : off[to]], off[at : to + 1] - off[at]
+        lo, hi = int(off[at]), int(off[to])
+        if overlap is not None and hi - lo > most + overlap:
+            for k in range(lo, hi - overlap, most):
+                part = data[k : min(hi, k + most + overlap)]
+                yield at, to, k - lo, part, np.array([0, len(part)])
+        else:
+            yield at, to, 0, data[lo:hi], off[at : to + 1] - lo
         at = to
 
 
@@ -232,12 +249,12 @@ def _counted(bits: int, length: int, gram: int):
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for _, _, data, off in _slices(batch, SLICE):
+            for _, _, _, data, off in _slices(batch, SLICE, length - 1):
                 h = Seeds(data, off, length, gram).hash >> U(24 - bits)
                 if len(h):
                     held.append(h)
                     size += len(h)
-                if size > 1 << 21:
+                if size > 1 << 19:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -264,8 +281,9 @@ def _repeated(bucket: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"seed": full.view(np.int64), "n": total[twice]})
 
 
-_FOUND = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("bytes", pa.binary())])
-_KIND = "seed long, doc long, h long, at int, size int, bytes binary"
+#: Contexts: seed, text (doc, h), place and bytes. Spans that go: any seed, text, place and size in one number, no bytes.
+_FOUND = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+_KIND = "seed long, doc long, h long, at long, bytes binary"
 
 
 def _spans(doc: np.ndarray, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -280,51 +298,56 @@ def _spans(doc: np.ndarray, h: np.ndarray, at: np.ndarray, size: np.ndarray) ->
     lead[1:] = ~same | (at[1:] > reach[:-1])
     first = np.flatnonzero(lead)
     last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-    none = [pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())]
-    return pa.record_batch([none[0], pa.array(doc[first]), pa.array(h[first]), pa.array(at[first].astype(np.int32)), pa.array((reach[last] - at[first]).astype(np.int32)), none[1]], schema=_FOUND)
+    columns = [doc[first], doc[first], h[first], at[first] << 32 | reach[last] - at[first]]
+    return pa.record_batch([*map(pa.array, columns), pa.nulls(len(first), pa.binary())], schema=_FOUND)
+
+
+def _classes(key: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context the number of its class of equal ones, in order of the key, and the least doc of the class."""
+    order, lead = _runs(key)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(lead) - 1
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(lead)) if len(order) else doc
+    return number, least[number]
 
 
 def _equal_contexts(seed: np.ndarray, raw: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each context the number of its class of equal ones (numbered by seed), and the least doc of the class."""
+    """Classes of contexts that have the seed and all bytes in common, told apart by 128 bits."""
     up, down = _powers(len(raw) + 1)
     key = [seed]
-    for k in (0, 1):
+    for k, table in enumerate((_BYTE, _AGAIN)):
         total = np.zeros(len(raw) + 1, U)
-        np.cumsum((_BYTE[raw] if k == 0 else mix(_BYTE, 5)[raw]) * up[: len(raw)], out=total[1:])
+        np.cumsum(table[raw] * up[: len(raw)], out=total[1:])
         key.append(mix((total[off[1:]] - total[off[:-1]]) * down[off[:-1]] + np.diff(off).astype(U), k))
-    order, lead = _runs(key)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(lead) - 1
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(lead)) if len(order) else doc
-    return number, least[number] if len(order) else doc
+    return _classes(key, doc)
 
 
-def _contexts(known, bits: int, length: int, gram: int, hot: int):
+def _contexts(known, bits: int, length: int, gram: int):
     """Contexts of repeated seeds, and spans that go as an equal context of a smaller doc stands in the same part of the documents.
 
-    ``known`` has the seeds and how often each stands; without it they come with the rows. Windows of seeds that stand more often
-    than ``hot`` are contexts of their own, dealt by their own hash: so the many contexts of such a seed meet in no one task.
+    ``known`` has the seeds and whether each is hot; without it they come with the rows. Windows of hot seeds
+    are contexts of their own, dealt by their own hash: so the many contexts of such a seed meet in no one task.
     """
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        seed, doc, h, at, size = (np.concatenate([x[k] for x in held]) for k in range(5))
-        raw = np.concatenate([x[5] for x in held])
+        seed, one, two, doc, h, at, size = (np.concatenate([x[k] for x in held]) for k in range(7))
+        raw = np.concatenate([x[7] for x in held])
         off = np.concatenate([[0], np.cumsum(size)])
-        _, least = _equal_contexts(seed, raw, off, doc)
+        _, least = _classes([seed, one, two], doc)
         gone = doc > least
         if gone.any():
             yield _spans(doc[gone], h[gone], at[gone], size[gone])
         keep = np.flatnonzero(~gone)
         for k in range(0, len(keep), 1 << 15):
             some = keep[k : k + (1 << 15)]
-            yield pa.record_batch([*(pa.array(x[some]) for x in (seed.view(np.int64), doc, h)), pa.array(at[some].astype(np.int32)), pa.array(size[some].astype(np.int32)), _lists(raw, off[some], size[some])], schema=_FOUND)
+            yield pa.record_batch([*(pa.array(x[some]) for x in (seed.view(np.int64), doc, h, at)), _lists(raw, off[some], size[some])], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total = 0
         for batch in batches:
             docs, hashes = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
-            for a, b, data, off in _slices(batch, SLICE):
+            for a, b, shift, data, off in _slices(batch, SLICE, length - 1):
                 if known is None:
                     wanted = batch.column("wanted").slice(a, b - a).flatten()
                     keys, where = np.unique(wanted.field(0).to_numpy(zero_copy_only=False).view(U), return_index=True)
@@ -337,19 +360,19 @@ def _contexts(known, bits: int, length: int, gram: int, hot: int):
                 key = x.hash >> U(24 - bits)
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == key)
-                many = often[at[hit]] > hot
+                many = often[at[hit]]
                 few, lots = hit[~many], hit[many]
                 n = (x.last - x.first + 1)[lots]
                 one = np.repeat(x.first[lots] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 first = np.concatenate([x.first[few], one])
                 size = np.concatenate([(x.last - x.first)[few] + length, np.full(len(one), length, np.int64)])
-                seed = np.concatenate([x.hash[few], x.strings(one, length, 77)])
+                seed = np.concatenate([key[few], x.strings(one, length, 77) >> U(24 - bits)])
                 text = np.searchsorted(off, first, "right") - 1
                 ends = np.concatenate([[0], np.cumsum(size)])
                 raw = data[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-                held.append((seed, docs[a + text], hashes[a + text], first - off[text], size, raw))
+                held.append((seed, x.strings(first, size, 1), x.strings_again(first, size), docs[a + text], hashes[a + text], first - off[text] + shift, size, raw))
                 total += len(raw)
-                if total > 4 * SLICE:
+                if total > 128 * SLICE:
                     yield from flush(held)
                     held, total = [], 0
         if held:
@@ -359,11 +382,10 @@ def _contexts(known, bits: int, length: int, gram: int, hot: int):
 
 
 def _shards(length: int, most: int):
-    """Of contexts in order of seed the spans that go. Contexts of one seed are in one shard."""
+    """Of contexts in order of seed the spans that go; spans pass. Contexts of one seed are in one shard."""
 
     def shard(t: pa.Table) -> pa.RecordBatch:
         seed, doc, h, at = (t[c].to_numpy() for c in ("seed", "doc", "h", "at"))
-        at = at.astype(np.int64)
         flat = t["bytes"].combine_chunks()
         flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
         off = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
@@ -403,6 +425,12 @@ def _shards(length: int, most: int):
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
+            none = batch.column("bytes").is_null()
+            if none.true_count:
+                yield batch.filter(none)
+                batch = batch.filter(pa.compute.invert(none))
+            if not len(batch):
+                continue
             held.append(batch)
             size += batch.column("bytes").nbytes
             if size < most:
@@ -430,7 +458,7 @@ def _cut(whole: bool):
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
         batch = pa.record_batch([texts], ["text"])
-        for a, b, data, off in _slices(batch, SLICE):
+        for a, b, _, data, off in _slices(batch, SLICE):
             mine = spans.slice(a, b - a)
             n = mine.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in mine.flatten().flatten())
@@ -469,24 +497,31 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole:
     documents. Very long texts are read whole, one at a time. An empty table gives an empty one; other columns don't pass.
     Seeds are told apart by 40 bits and more, which only lets more be looked at; equal contexts by 128 bits.
     """
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("h"), "text")
+    alone = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    h = F.lit(0).cast("long") if alone else F.xxhash64("text")  # tells apart texts that share a doc_id
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), h.alias("h"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
     bits = min(23, max(4, (max(1, size) // BUCKET).bit_length()))
     found = rows.select("text").mapInArrow(_counted(bits, length, gram), "bucket int, once binary, more binary, counts binary")
     seeds = written(found.groupBy("bucket").applyInArrow(_repeated, "seed long, n long"), "seeds")
-    if seeds.count() <= known:
-        t = seeds.toArrow()
-        order = np.argsort(t["seed"].to_numpy())
-        value = docs.sparkSession.sparkContext.broadcast((t["seed"].to_numpy()[order].view(U), t["n"].to_numpy()[order]))
-        around = rows.select("doc", "h", "text").mapInArrow(_contexts(value, bits, length, gram, hot), _KIND)
+    rounds = -(-seeds.count() // known) if known else ROUNDS + 1
+    if rounds <= ROUNDS:
+        around = None
+        for k in range(max(1, rounds)):
+            t = seeds.where(F.pmod("seed", F.lit(max(1, rounds))) == k).select("seed", (F.col("n") > hot).alias("hot")).toArrow()
+            keys, often = t["seed"].to_numpy().view(U), t["hot"].to_numpy()
+            order = np.argsort(keys)
+            value = docs.sparkSession.sparkContext.broadcast((keys[order], often[order]))
+            more = rows.select("doc", "h", "text").mapInArrow(_contexts(value, bits, length, gram), _KIND)
+            around = more if around is None else around.union(more)
     else:
         every = rows.select("doc", "h", F.explode(_keys(bits, length, gram)(F.col("text"))).alias("seed"))
-        asked = every.join(seeds, "seed").groupBy("doc", "h").agg(F.collect_list(F.struct("seed", "n")).alias("wanted"))
-        around = rows.join(asked, ["doc", "h"]).select("doc", "h", "text", "wanted").mapInArrow(_contexts(None, bits, length, gram, hot), _KIND)
-    around = written(around, "contexts")
-    dealt = around.where("seed is not null").repartition("seed").sortWithinPartitions("seed")
-    spans = around.where("seed is null").union(dealt.mapInArrow(_shards(length, shard), _KIND)).select("doc", "h", F.struct("at", "size").alias("x"))
-    spans = spans.groupBy("doc", "h").agg(F.collect_list("x").alias("spans"))
+        asked = every.join(seeds, "seed").groupBy("doc", "h").agg(F.collect_list(F.struct("seed", (F.col("n") > hot).alias("hot"))).alias("wanted"))
+        around = rows.join(asked, ["doc", "h"]).select("doc", "h", "text", "wanted").mapInArrow(_contexts(None, bits, length, gram), _KIND)
+    # spans travel with the contexts, so that texts are read once and nothing is written between
+    dealt = around.repartition("seed").sortWithinPartitions("seed").mapInArrow(_shards(length, shard), _KIND)
+    span = F.struct(F.shiftright("at", 32).cast("int").alias("at"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("size"))
+    spans = dealt.select("doc", "h", span.alias("x")).groupBy("doc", "h").agg(F.collect_list("x").alias("spans"))
     cut = rows.join(spans, ["doc", "h"], "left").withColumn("c", _cut(whole)(F.col("text"), F.coalesce("spans", F.array().cast(T.ArrayType(_SPAN)))))
     return cut.select("doc_id", "c.*")
 
@@ -496,7 +531,7 @@ def _keys(bits: int, length: int, gram: int):
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for a, b, data, off in _slices(pa.record_batch([texts], ["text"]), SLICE):
+        for a, b, _, data, off in _slices(pa.record_batch([texts], ["text"]), SLICE):
             x = Seeds(data, off, length, gram)
             key = (x.hash >> U(24 - bits)).view(np.int64)
             cuts = np.searchsorted(np.searchsorted(off, x.place, "right") - 1, np.arange(b - a + 1))
