@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from . import views
 
-_V = {name: views.sql(getattr(views, name)) for name in ("FEEDS", "EPISODES", "SEARCHES", "CLIP_REQUESTS", "SEGMENTS", "UPDATES", "RAW_UPDATES", "SHOWS", "RAW_LOG", "PAGE_REQUESTS")}
-FEEDS, EPISODES, SEARCHES, CLIPS, SEGMENTS, UPDATES, RAW_UPDATES, SHOWS, RAW_LOG, PAGES = _V.values()
+_V = {name: views.sql(getattr(views, name)) for name in ("FEEDS", "EPISODES", "SEARCHES", "CLIP_REQUESTS", "SEGMENTS", "UPDATES", "RAW_UPDATES", "SHOWS", "RAW_LOG", "PAGE_REQUESTS", "PERSON_REQUESTS")}
+FEEDS, EPISODES, SEARCHES, CLIPS, SEGMENTS, UPDATES, RAW_UPDATES, SHOWS, RAW_LOG, PAGES, PERSONS = _V.values()
 
 
 def _int(x: str) -> str:
@@ -126,6 +126,7 @@ SQL = {
     "title_contains": f"select r.request_id, e.id from {SEARCHES} r join {EPISODES} e on e.feed_id = r.feed_id and contains(lower(e.title), lower(r.q))",
     "feed_search": f"select id, cast(case when contains(lower(title), 'an') then 0 else 1 end as bigint) as rank from {FEEDS} where contains(lower(title), 'an') or contains(lower(author), 'an')",
     "person_search": f"select id from {EPISODES} where contains(lower(title), 'src1') or contains(lower(description), 'src1') or contains(lower(author), 'src1') or contains(lower(feed_title), 'src1')",
+    "person_log": f"select request_id, id from {PERSONS} r join {EPISODES} e on q <> '' and {_HELD.format('lower(q)')}",
     "search_join": f"select request_id, id from {MATCHES}",
     "match_count": f"select r.request_id, count(m.id) as n from {SEARCHES} r left join {MATCHES} m using (request_id) group by r.request_id",
     "match_outcome": f"""select request_id, case when n = 0 then 'none' when n = 1 then 'one' else 'many' end as outcome, case when n = 1 then least_id end as chosen_id

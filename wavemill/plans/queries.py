@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, labels
-from ..operators import clips, lookup, outcomes, paging, replay, search, sessions, trending
+from ..operators import clips, index, lookup, outcomes, paging, replay, search, sessions, trending
 from ..sources import envelopes
 from ..streaming import jobs
 from . import views
@@ -108,6 +108,15 @@ def search_join(s, d):
     return search.search_join(searches(s, d), episodes(s, d))
 
 
+def person_log(s, d):
+    """A log of requests over all four fields, by an index that is built once (here: for this query) and read as it lies."""
+    rows, fields = _searchable(s, d), list(outcomes.EPISODE_FIELDS)
+    path = jobs.folder(s, "index")
+    name = "episodes_" + path.rsplit("-", 1)[-1]
+    index.build(rows, fields, name, path)
+    return index.lookup(s, name, view(s, d, views.PERSON_REQUESTS), rows, fields, fields)
+
+
 def match_count(s, d):
     return search.match_count(searches(s, d), search_join(s, d))
 
@@ -266,7 +275,7 @@ def session_stream(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        envelope_explode, envelope_status, clip_manifest, label_global, label_feed, clip_filename, preview3, title_contains, feed_search, person_search, clip_validate,
+        envelope_explode, envelope_status, clip_manifest, label_global, label_feed, clip_filename, preview3, title_contains, feed_search, person_search, person_log, clip_validate,
         update_symbols, select_episode, title_lookup, feed_episodes, feed_no_episodes, search_join, clip_slice, match_count, match_outcome, trending_topk, freshest_feed,
         episode_page, feed_page, feed_page_tail, deep_page, page_status, first5, random_episode, parse_interval, session_fold, session_funnel, session_log, session_states, session_context, session_rates, clip_stream, trending_stream, trending_top_stream, session_stream,
     )

@@ -48,6 +48,10 @@ RAW_UPDATES = """select event_id as update_id, user_id,
       when 5 then '/trending now' when 6 then 'Search Episodes Globally' when 7 then '/unknown' else concat('text ', event_type) end end as payload
 from {events}"""
 
+#: A search of all fields for each conversation: parts of what was said, names of sources, languages.
+PERSON_REQUESTS = """select conv_id as request_id, case conv_id%4 when 0 then concat('Src',cast(conv_id%20 as varchar(20))) when 1 then substr(text,2,9) when 2 then substr(text,5,7) else 'nothing' end as q
+from {conversations} where role='user' and turn<=1"""
+
 PAGE_REQUESTS = """select conv_id as request_id, case conv_id%5 when 0 then 'click' when 1 then 'error' when 2 then 'purchase' when 3 then 'signup' else 'view' end as event_type,
   case when conv_id%9<3 then conv_id%9-1 else (conv_id%9)*(conv_id%50) end as page from {conversations} where role='user' and turn<=1"""
 
