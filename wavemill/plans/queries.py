@@ -82,7 +82,7 @@ def clip_filename(s, d):
 
 
 def clip_manifest(s, d):
-    return clips.write_manifest(named_clips(s, d).select("request_id", "filename", "start_sec", "end_sec", "status"), jobs.folder(s, "manifest"))
+    return clips.write_manifest(named_clips(s, d).select("request_id", "filename", "start_sec", "end_sec", "status"), jobs.folder(s, "manifest")).drop("batch")
 
 
 def clip_slice(s, d):
