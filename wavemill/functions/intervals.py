@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: seconds that a clip may last.
 LONGEST = 900
+#: Fixed value: hours, minutes and seconds with their units.
 _UNITS = r"^([0-9]+h)?\s*([0-9]+m)?\s*([0-9]+s)?"
 
 

@@ -109,7 +109,16 @@ REPLAY = f"""(with recursive l as materialized (select update_id, user_id, kind,
   select user_id, update_id, was as before, case when b in ('cut', 'search', 'trending', 'surprise') then 'start' when b like '%page_none' then 'page_none' when b like '%one_empty' then 'one_empty' when b in ('open', 'pick') then 'id' when b = 'open_empty' then 'id_empty'
       when b in ('no_url', 'too_long') then b when regexp_matches(b, '^(feed|all|in)_') then regexp_replace(b, '^(feed|all|in)_', '') else b end as outcome, s as after, q, page, feed, episode, url, title from r where k > 0)"""
 
+def _landed(name: str, table: str, columns: str) -> str:
+    request = f"{name} || '/' || cast(id // 1000 as varchar)"
+    return f"select {request} as request, row_number() over (partition by {name}, id // 1000 order by id) - 1 as pos, id, {columns} from {table} where right({name}, 1) not in ('2', '3', '5')"
+
+
 SQL = {
+    "landed_feeds": _landed("author", FEEDS, "title, author"),
+    "landed_items": _landed("feed_title", EPISODES, 'title, enclosure_url as "enclosureUrl"'),
+    "landed_episodes": _landed("feed_title", EPISODES, 'title, enclosure_url as "enclosureUrl"'),
+    "landed_counts": f"""select rejected, count(*) as n, count(*) as observed from (select distinct author, id // 1000, right(author, 1) in ('2', '3', '5') as rejected from {FEEDS}) group by rejected""",
     "envelope_explode": f"""select {_REQUEST} as request, row_number() over (partition by author, id // 1000 order by id) - 1 as pos, id, title, author, last_update_time
         from {FEEDS} where right(author, 1) not in ('3', '5')""",
     "envelope_status": f"select distinct {_REQUEST} as request, case right(author, 1) when '3' then 'http_404' when '5' then 'empty' else 'ok' end as status from {FEEDS}",

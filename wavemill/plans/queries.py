@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals, labels
 from ..operators import clips, index, lookup, outcomes, paging, replay, search, sessions, trending
-from ..sources import envelopes
+from ..sources import envelopes, landed
 from ..streaming import jobs
 from . import views
 from .views import view
@@ -50,6 +50,43 @@ def envelope_status(s, d):
     return envelopes.decode(_responses(s, d), "feeds").select("request", envelopes.status().alias("status"))
 
 
+def _files(s, d, key):
+    """Responses of one kind as files; those of names that end in 3 failed, in 5 are empty, in 2 were cut while they were written."""
+    if key == "feeds":
+        rows = feeds(s, d).select(F.col("author").alias("name"), "id", F.struct("id", "title", "author", F.col("last_update_time").alias("lastUpdateTime")).alias("entry"))
+    else:
+        rows = episodes(s, d).select(F.col("feed_title").alias("name"), "id", F.struct("id", F.col("feed_id").alias("feedId"), "title", F.col("feed_title").alias("feedTitle"), F.col("enclosure_url").alias("enclosureUrl")).alias("entry"))
+    found = rows.groupBy(F.concat("name", F.lit("/"), F.floor(F.col("id") / 1000)).alias("request"), F.substring("name", -1, 1).alias("end")).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    n = F.when(F.col("end") == "5", 0).otherwise(F.size("entries"))
+    response = F.struct(n.alias("count"), F.slice("entries", F.lit(1), n).alias(key), F.lit("x").alias("other"))
+    line = F.to_json(F.struct("request", F.when(F.col("end") == "3", 404).otherwise(200).alias("http_status"), response.alias("response")))
+    path = jobs.folder(s, f"landed-{key}")
+    found.select(F.when(F.col("end") == "2", F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+def landed_feeds(s, d):
+    return landed.rows(landed.read(s, _files(s, d, "feeds"), "feeds"), "feeds").select("request", F.col("pos").cast("bigint").alias("pos"), "id", "title", "author")
+
+
+def landed_items(s, d):
+    return landed.rows(landed.read(s, _files(s, d, "items"), "items"), "items").select("request", F.col("pos").cast("bigint").alias("pos"), "id", "title", "enclosureUrl")
+
+
+def landed_episodes(s, d):
+    """The same as a stream, written and read back."""
+    path = jobs.folder(s, "landed")
+    landed.write_stream(landed.stream(s, _files(s, d, "episodes"), "episodes"), path)
+    return landed.rows(s.read.parquet(f"{path}/out"), "episodes").select("request", F.col("pos").cast("bigint").alias("pos"), "id", "title", "enclosureUrl")
+
+
+def landed_counts(s, d):
+    """What was observed while responses were written, beside the rows that were."""
+    path = jobs.folder(s, "landed")
+    seen = landed.write(landed.read(s, _files(s, d, "feeds"), "feeds"), path)
+    return s.read.parquet(path).groupBy(F.col("rejected").cast("boolean").alias("rejected")).agg(F.count("*").alias("n")).withColumn("observed", F.when(F.col("rejected"), F.lit(seen["rejected"])).otherwise(F.lit(seen["good"])).cast("bigint"))
+
+
 def label_global(s, d):
     return episodes(s, d).select("id", labels.global_result(F.col("feed_title"), F.col("title")).alias("label"))
 
@@ -275,7 +312,7 @@ def session_stream(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        envelope_explode, envelope_status, clip_manifest, label_global, label_feed, clip_filename, preview3, title_contains, feed_search, person_search, person_log, clip_validate,
+        envelope_explode, envelope_status, landed_feeds, landed_items, landed_episodes, landed_counts, clip_manifest, label_global, label_feed, clip_filename, preview3, title_contains, feed_search, person_search, person_log, clip_validate,
         update_symbols, select_episode, title_lookup, feed_episodes, feed_no_episodes, search_join, clip_slice, match_count, match_outcome, trending_topk, freshest_feed,
         episode_page, feed_page, feed_page_tail, deep_page, page_status, first5, random_episode, parse_interval, session_fold, session_funnel, session_log, session_states, session_context, session_rates, clip_stream, trending_stream, trending_top_stream, session_stream,
     )
