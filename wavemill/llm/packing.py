@@ -205,7 +205,12 @@ def assemble(packed: DataFrame, ids: str = "ids") -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
-    """Pieces of all documents with crc32 of their ids, and their place: see the columns below."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the pieces of all documents and their places.
+
+    A document is its ids and an end mark; only longer ones than ``size`` are cut. Null and empty texts are the end mark alone; very long
+    texts are tokenised whole and cut into pieces; rows that repeat each take a place; equal lengths take the
+    planned slots of their length by rank. An empty table gives an empty one; other columns don't pass.
+    """
     cuts = cut(tokenise(docs.select("doc_id", "text"), path), size)
     table = written(cuts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(table, ["doc_id", "piece"], size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -166,7 +166,8 @@ def redacted(text: str | None, least_extra: float = LEAST) -> str | None:
 def redact(df: DataFrame, text: str = "text", least_extra: float = LEAST) -> DataFrame:
     """``df`` with each span replaced by ``<KIND>``; of spans that overlap the first names the place.
 
-    Null texts stay null and texts without spans stay as they are.
+    Null texts stay null, empty ones and texts without spans stay as they are; very long texts are read whole, one at a time. Rows that repeat are
+    changed alike; an empty table gives an empty one. Other columns pass, whatever their names.
     """
     run = F.arrow_udf(lambda texts: pa.array([redacted(t.as_py(), least_extra) for t in texts], pa.string()), T.StringType())
     return df.withColumn(text, run(F.col(text)))
