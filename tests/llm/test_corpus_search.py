@@ -198,11 +198,11 @@ def test_bounds_hold_and_prune(seed, n, leaf):
         x[1:4] = x[0]
     row, col = np.nonzero(x)
     rows = lexical.Rows(np.searchsorted(row, np.arange(n + 1)), col, x[row, col])
-    tree = lexical.BallTree(rows, size, leaf)
     query = rand.integers(1, 4, size) * (rand.random(size) < 0.4)
     query[0] += 1
     at = np.flatnonzero(query)
-    bounds = tree.bounds(np.array([0, len(at)]), at, query[at])[:, 0]
+    tree = lexical.BallTree(rows, size, (np.array([0, len(at)]), at, query[at]), leaf)
+    bounds = tree.bounds[:, 0]
     assert sorted(i for m, _ in tree.leaves.values() for i in m.tolist()) == list(range(n))
 
     def members(node):
@@ -221,8 +221,8 @@ def test_far_groups_are_not_scored():
     for g in range(10):
         x[g * 100 : g * 100 + 100, g] = 10**9 + rand.integers(0, 10**7, 100)
     row, col = np.nonzero(x)
-    tree = lexical.BallTree(lexical.Rows(np.searchsorted(row, np.arange(1001)), col, x[row, col]), 10, 20)
-    bounds = tree.bounds(np.array([0, 1]), np.array([3]), np.array([1]))[:, 0]
+    tree = lexical.BallTree(lexical.Rows(np.searchsorted(row, np.arange(1001)), col, x[row, col]), 10, (np.array([0, 1]), np.array([3]), np.array([1])), 20)
+    bounds = tree.bounds[:, 0]
     best = []
     scored = tree.search(bounds, np.eye(10, dtype=np.int64)[3], best, list(range(1000)), 5)
     assert len(best) == 5 and scored <= 150

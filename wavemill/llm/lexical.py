@@ -3,8 +3,9 @@
 A document is a sparse vector over the terms that items ask for: of each, its weight times its saturated
 frequency, all integers. An item is the vector of its terms' repeats, so a score is an inner
 product. Each task builds ball trees over its documents: nodes split by the farther of two distant
-members, each with its centroid and radius. No member of a node can score more for an item than
-the centroid does plus the item's norm times the radius; the floats of that bound are rounded up by more than they can err.
+members, each with its centroid, its radius and its radius along each coordinate. No member of a node can score more for an item than
+the centroid does plus the item's norm times the radius, nor more than the centroid does plus the radii along the item's own
+coordinates, its terms: the lesser counts. The floats of these bounds are rounded up by more than they can err.
 Subtrees are taken best bound first and dropped as soon as a bound is below the item's k-th score so far; leaves are scored in integers.
 """
 
@@ -29,7 +30,7 @@ TOP = 20
 #: Pairs of item and term that are searched for, and broadcast, at once; more items go in further rounds.
 PAIRS = 50_000
 #: Documents and entries of one tree at most, documents of a leaf.
-CHUNK, ENTRIES, LEAF = 16_384, 4_000_000, 48
+CHUNK, ENTRIES, LEAF = 16_384, 4_000_000, 8
 
 #: Bytes between terms: all of ASCII but letters and digits.
 BETWEEN = np.ones(256, bool)
@@ -129,41 +130,49 @@ class Rows:
 
 
 class BallTree:
-    """Nodes over rows of not negative integers: centroid, radius, two children or the rows of a leaf."""
+    """Nodes over rows of not negative integers: two children or the rows of a leaf, and what no member's inner product with a query exceeds.
 
-    def __init__(self, rows: Rows, size: int, leaf: int = LEAF):
-        self.size, self.leaf = size, leaf
-        self.centroids: list[np.ndarray] = []
-        self.radii: list[float] = []
+    ``queries``: (ptr, col, k), sparse and none empty. Bounds are taken while the tree is built, so that no centroid is kept.
+    """
+
+    def __init__(self, rows: Rows, size: int, queries: tuple[np.ndarray, np.ndarray, np.ndarray], leaf: int = LEAF):
+        self.size, self.queries = size, queries
+        self.norm = np.sqrt(np.add.reduceat((queries[2] * queries[2]).astype(np.float64), queries[0][:-1]))
         self.below: list[tuple[int, int] | None] = []
         self.leaves: dict[int, tuple[np.ndarray, Rows]] = {}
+        bounds: list[np.ndarray] = []
         n = len(rows.ptr) - 1
         todo = [(np.arange(n), rows, -1, 0)] if n else []
         while todo:
             members, mine, parent, side = todo.pop()
-            node = len(self.radii)
+            node = len(bounds)
             if parent >= 0:
                 pair = self.below[parent] or (-1, -1)
                 self.below[parent] = (node, pair[1]) if side == 0 else (pair[0], node)
-            far = self._add(mine)
+            self.below.append(None)
+            far, bound = self._ball(mine)
+            bounds.append(bound)
             if len(members) <= leaf:
                 self.leaves[node] = (members, mine)
                 continue
             left = self._split(mine, far)
             for s, part in enumerate((np.flatnonzero(left), np.flatnonzero(~left))):
                 todo.append((members[part], mine.take(part), node, s))
+        self.bounds = np.array(bounds) if bounds else np.zeros((0, len(self.norm)))
 
-    def _add(self, mine: Rows) -> int:
-        """Adds a node; gives the member farthest from its centroid. The radius is rounded up beyond what floats can err."""
+    def _ball(self, mine: Rows) -> tuple[int, np.ndarray]:
+        """The member farthest from the centroid, and each query's bound. The radius is rounded up beyond what floats can err."""
         val = mine.val.astype(np.float64)
         c = np.bincount(mine.col, val, self.size) / (len(mine.ptr) - 1)
         norm = np.add.reduceat(val * val, mine.ptr[:-1])
         cc = float(c @ c)
         apart = norm - 2 * np.add.reduceat(val * c[mine.col], mine.ptr[:-1]) + cc + 1e-10 * (norm + cc)
-        self.centroids.append(c)
-        self.radii.append(math.sqrt(max(0.0, float(apart.max()))) * (1 + 1e-9))
-        self.below.append(None)
-        return int(apart.argmax())
+        radius = math.sqrt(max(0.0, float(apart.max()))) * (1 + 1e-9)
+        most = np.zeros(self.size)  # the centroid and the radius along each coordinate
+        np.maximum.at(most, mine.col, val)
+        ptr, col, k = self.queries
+        ball = np.add.reduceat(k * c[col], ptr[:-1]) + self.norm * radius
+        return int(apart.argmax()), np.minimum(ball, np.add.reduceat(k * most[col], ptr[:-1])) * (1 + 1e-9) + 1
 
     def _split(self, mine: Rows, far: int) -> np.ndarray:
         """Which members are nearer to ``far`` than to the one farthest from it; halves if one side would be small."""
@@ -179,14 +188,6 @@ class BallTree:
             left[np.argpartition(lean, n // 2)[: n // 2]] = True
         return left
 
-    def bounds(self, ptr: np.ndarray, col: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Of each node and query (sparse, without empty ones) what no member's inner product exceeds."""
-        norm = np.sqrt(np.add.reduceat((k * k).astype(np.float64), ptr[:-1]))
-        out = np.empty((len(self.radii), len(norm)))
-        for i, (c, r) in enumerate(zip(self.centroids, self.radii, strict=True)):
-            out[i] = np.add.reduceat(k * c[col], ptr[:-1]) + norm * r
-        return out * (1 + 1e-9) + 1
-
     def search(self, bounds: np.ndarray, query: np.ndarray, best: list[tuple[int, int]], names: list[int], top: int) -> int:
         """Best-first; puts (score, -name) on the heap ``best`` of at most ``top``. Gives how many rows were scored."""
         todo = [(-bounds[0], 0)] if len(bounds) else []
@@ -229,12 +230,11 @@ def _search(asked, weight: np.ndarray, top: int):
         def chunk(held: list[tuple]) -> None:
             names = [x for h in held for x in h[0]]
             count, t, v = (np.concatenate([h[j] for h in held]) for j in (1, 2, 3))
-            tree = BallTree(Rows(np.concatenate([[0], np.cumsum(count)]), t, v), size)
-            bounds = tree.bounds(ptr, col, k)
+            tree = BallTree(Rows(np.concatenate([[0], np.cumsum(count)]), t, v), size, (ptr, col, k))
             for q in range(len(item)):
                 mine = slice(ptr[q], ptr[q + 1])
                 query[col[mine]] = k[mine]
-                tree.search(bounds[:, q], query, best[q], names, top)
+                tree.search(tree.bounds[:, q], query, best[q], names, top)
                 query[col[mine]] = 0
 
         held: list[tuple] = []
