@@ -190,6 +190,28 @@ def test_toxicity_learns_words_from_document_labels(spark):
     assert any(re.search("vile|nasty", texts[bad.doc_id][1][s.start : s.end]) for s in bad.offending)
 
 
+def test_toxicity_is_the_noisy_or_of_sentences(docs):
+    """Each score, and the offending sentences, from the model's weights by plain arithmetic."""
+    import math
+
+    weight = lambda part: zlib.crc32(part.encode()[::-1]) % 200 / 100 - 1.1
+    parts = lambda w: {"=" + w, *("^" + w[:k] for k in (3, 4, 5) if len(w) >= k), *(["$" + w[-4:]] if len(w) >= 4 else [])}
+    words = {w for _, t in ROWS for w in re.findall(r"\w+", (t or "").lower())}
+    weights = {zlib.crc32(p.encode()) % toxicity.BUCKETS: weight(p) for w in words for p in parts(w)}
+    got = {}
+    for r in toxicity.score(docs, {"weights": weights, "bias": -1.5, "floor": 0.0}).collect():
+        got.setdefault(r.doc_id, []).append((r.toxicity, [(x.start, x.end) for x in r.offending]))
+    for d, t in ROWS:
+        none, spans = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", t or ""):
+            z = -1.5 + sum(weights[f] for w in re.findall(r"\w+", m.group()) for f in {zlib.crc32(p.encode()) % toxicity.BUCKETS for p in parts(w.lower())})
+            p = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+            none *= 1 - p
+            spans += [m.span()] if z >= 0 else []
+        assert all(abs(score - (1 - none)) < 1e-9 and found == spans for score, found in got[d]), d
+    assert len(got) == len({d for d, _ in ROWS})
+
+
 def test_toxicity_without_labels_or_rows(docs, none, labels):
     assert {r.score for r in toxicity.digest(docs, labels.where("false")).collect()} == {0.0}
     assert toxicity.digest(docs, labels).count() == len(ROWS)
