@@ -73,9 +73,10 @@ def page_status(requests: DataFrame, rows: DataFrame, by: list[str], size: int =
 def any_pages(requests: DataFrame, rows: DataFrame, by: list[str], order: list[str], size: int = SIZE, tail: bool = False, buckets: int = 64) -> DataFrame:
     """Rows of each request's page, at any depth, with rn, has_next and has_prev; only requests of status ok have some.
 
-    ``tail``: the last ``size`` of the first size * page + 1 rows, as a client sees them that asks for one more and shows the end.
+    ``tail``: the last ``size`` of the first size * page + 1 rows, as a client sees them that asks for one more and shows the end; so a
+    page beyond the last shows the last rows there are.
     """
-    good = page_status(requests, rows, by, size).where("status = 'ok'")
+    good = page_status(requests, rows, by, size).where("status <> 'bad_page' and total > 0" if tail else "status = 'ok'")
     last = F.least(size * F.col("page") + int(tail), F.col("total"))
     first = F.greatest(last - size, F.lit(0)) + 1 if tail else size * (F.col("page") - 1) + 1
     wanted = good.withColumn("rn", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))).drop("total", "status")
