@@ -65,7 +65,7 @@ RAW_LOG = """select e.event_id as update_id, e.user_id, case when e.event_type='
       when 6 then cast(e.event_id%17 as varchar(20)) else cast((e.event_id*7)%300 as varchar(20)) end
   else case e.event_id%23 when 0 then '/cut_podcast' when 1 then 'Search Episodes Globally' when 2 then '/trending' when 3 then 'Surprise Me' when 4 then 'Search Podcast by Name'
     when 5 then 'Help' when 6 then case when e.event_id%2=0 then '/cancel' else '/start' end when 7 then concat('#',cast(e.event_id%25 as varchar(20)),'.') when 8 then concat('#',cast(e.event_id%19 as varchar(20)),'.')
-    when 9 then concat(cast(e.event_id%10 as varchar(20)),'.') when 10 then lower(substr(d.text,1,cast(9+e.event_id%5 as int))) when 11 then substr(d.text,14,9) when 12 then 'nothing like it' when 13 then lower(substr(d.text,2,4))
+    when 9 then concat(cast(e.event_id%10 as varchar(20)),'.') when 10 then lower(substr(d.text,1,cast(9+e.event_id%5 as int))) when 11 then substr(d.text,14,9) when 12 then 'nothing like it' when 13 then lower(substr(d.text,2,10))
     when 14 then '/cut_podcast' when 15 then '/trending' when 16 then 'Surprise Me' when 17 then lower(substr(d.text,1,9)) when 18 then '00:10-02:00' when 19 then '90-30' when 20 then '5-2000' when 21 then '1m-1m30s' else '0-x' end end as payload
 from {events} e left join {documents} d on d.doc_id = (e.event_id*13)%200"""
 
