@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import intervals
-from . import index, paging, sessions
+from . import index, paging, sessions, shared
 
 #: Fields in which feeds and episodes are searched.
 FEED_FIELDS, EPISODE_FIELDS = ("title", "author"), ("title", "description", "author", "tags")
@@ -31,8 +31,8 @@ def segmented(updates: DataFrame, chunk: int = sessions.CHUNK) -> DataFrame:
 
 
 def _of_texts(texts: DataFrame, feeds: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Of each different text (payload): the feeds that hold it (n_feeds, and the one if it is one), whether any episode does (n_global)."""
-    asked = texts.select("payload", F.lower("payload").alias("_q")).distinct()
+    """Of each different text (payload): the feeds that hold it (n_feeds, and the one if it is one), how many episodes do (n_global)."""
+    asked = shared.written(texts.select("payload", F.lower("payload").alias("_q")).distinct(), "texts")
     in_feeds = index.matches(asked, feeds, FEED_FIELDS, q="payload").groupBy("_q").agg(F.count("*").alias("n_feeds"), F.min("id").alias("one_feed"))
     in_all = index.matches(asked, episodes, EPISODE_FIELDS, q="payload").groupBy("_q").agg(F.count("*").alias("n_global"))
     found = asked.join(in_feeds, "_q", "left").join(in_all, "_q", "left")
@@ -41,11 +41,23 @@ def _of_texts(texts: DataFrame, feeds: DataFrame, episodes: DataFrame) -> DataFr
 
 def _in_feed(texts: DataFrame, episodes: DataFrame) -> DataFrame:
     """Of each text and each feed that may be open (``open``) the episodes that hold it: n, and if it is one its id, url and title."""
-    pairs = texts.select("user_id", "update_id", "payload", F.explode("open").alias("feed_id"))
-    found = index.matches(pairs, episodes, ["title"], ["feed_id"], "payload")
-    found = found.join(episodes.select("id", "enclosure_url", "title"), "id").groupBy("_q", "feed_id").agg(F.count("*").alias("n"), F.min(F.struct("id", "enclosure_url", "title")).alias("one"))
-    named = pairs.withColumn("_q", F.lower("payload")).join(found, ["_q", "feed_id"])
-    return named.groupBy("user_id", "update_id").agg(F.collect_list(F.struct("feed_id", "n", F.when(F.col("n") == 1, F.col("one")).alias("one"))).alias("inside"))
+    pairs = texts.select("user_id", "update_id", F.lower("payload").alias("_q"), F.explode("open").alias("feed_id"))
+    found = index.matches(shared.written(pairs.select("_q", "feed_id").distinct(), "pairs"), episodes, ["title"], ["feed_id"], "_q")
+    found = shared.written(found.groupBy("_q", "feed_id").agg(F.count("*").alias("n"), F.min("id").alias("id")), "inside")
+    rows = episodes.select("id", "feed_id", "enclosure_url", "title").join(found.where("n = 1"), ["id", "feed_id"]).where(F.contains(F.lower("title"), F.col("_q")))
+    alone = rows.select("_q", "feed_id", F.struct("id", "enclosure_url", "title").alias("one"))
+    named = pairs.join(shared.written(found.select("_q", "feed_id", "n").join(alone, ["_q", "feed_id"], "left"), "named"), ["_q", "feed_id"])
+    return named.groupBy("user_id", "update_id").agg(F.collect_list(F.struct("feed_id", "n", "one")).alias("inside"))
+
+
+def _listed(log: DataFrame, once: DataFrame) -> DataFrame:
+    """``log`` with whether the episode of its id holds the text that came last. Each different pair is looked at once, and no update carries an episode's texts."""
+    pairs = log.where("_id is not null and _last_text <> ''").select("_id", "_last_text").distinct()
+    holds = F.lit(False)
+    for f in EPISODE_FIELDS:
+        holds = holds | F.coalesce(F.contains(F.lower(f), F.lower("_last_text")), F.lit(False))
+    held = pairs.join(once, "_id").where(holds).select("_id", "_last_text", F.lit(True).alias("_held"))
+    return log.join(shared.written(held, "listed"), ["_id", "_last_text"], "left").withColumn("listed", F.coalesce("_held", F.lit(False)))
 
 
 def with_outcomes(updates: DataFrame, feeds: DataFrame, episodes: DataFrame, chunk: int = sessions.CHUNK) -> DataFrame:
@@ -56,24 +68,22 @@ def with_outcomes(updates: DataFrame, feeds: DataFrame, episodes: DataFrame, chu
     here, so a text is sought in those that may be: the one whose id came last, and those that the first text after it, or after a start, alone names.
     ``feeds``: id, title, author; ``episodes``: id, feed_id, title, description, author, tags (a string), enclosure_url, pos.
     """
-    log = segmented(updates, chunk)
-    sizes = episodes.groupBy(F.col("feed_id").alias("_feed")).agg(F.count("*").alias("_n"))
+    log = shared.written(segmented(updates, chunk), "log")
+    sizes = shared.written(episodes.groupBy(F.col("feed_id").alias("_feed")).agg(F.count("*").alias("_n")), "sizes")
     texts = _of_texts(log.where("typed"), feeds, episodes).join(sizes, F.col("one_feed") == F.col("_feed"), "left")
     texts = texts.select(F.col("payload").alias("_text"), "n_feeds", "one_feed", "n_global", F.coalesce("_n", F.lit(0)).alias("one_n"))
-    log = log.join(texts, F.col("typed") & (F.col("payload") == F.col("_text")), "left").drop("_text")
+    log = log.join(shared.written(texts, "found"), F.col("typed") & (F.col("payload") == F.col("_text")), "left").drop("_text")
 
     number = F.when(F.col("symbol") == "id", F.col("payload").try_cast("bigint"))
     log = log.withColumn("_id", number)
     log = log.join(sizes.select(F.col("_feed").alias("_id"), F.col("_n").alias("feed_n")), "_id", "left")
-    once = episodes.groupBy("id").agg(F.min_by(F.struct("feed_id", "enclosure_url", *EPISODE_FIELDS), "pos").alias("_e"))
-    log = log.join(once.withColumnRenamed("id", "_id"), "_id", "left")
+    ids = shared.written(log.where("_id is not null").select(F.col("_id").alias("id")).distinct(), "ids")
+    chosen = episodes.join(ids, "id", "left_semi").groupBy(F.col("id").alias("_id")).agg(F.min_by(F.struct("feed_id", "enclosure_url", *EPISODE_FIELDS), "pos").alias("_e"))
+    once = shared.written(chosen.select("_id", "_e.*"), "chosen")
+    log = log.join(once.select("_id", F.struct("feed_id", "enclosure_url", "title").alias("episode")), "_id", "left")
 
     mine = W.partitionBy("user_id", "segment").orderBy("update_id").rowsBetween(W.unboundedPreceding, -1)
     log = log.withColumns({"_last_text": F.last(F.when(F.col("typed"), F.col("payload")), True).over(mine), "_last_id": F.last("_id", True).over(mine), "_ids": F.count("_id").over(mine)})
-    held = F.lit(False)
-    for f in EPISODE_FIELDS:
-        held = held | F.coalesce(F.contains(F.lower(F.col("_e")[f]), F.lower("_last_text")), F.lit(False))
-    log = log.withColumn("listed", held & (F.col("_last_text") != ""))
 
     starts = F.count(F.when(F.col("symbol").isin("cut", "trending"), 1)).over(mine)
     log = log.withColumn("_starts", starts)
@@ -82,6 +92,8 @@ def with_outcomes(updates: DataFrame, feeds: DataFrame, episodes: DataFrame, chu
     log = log.withColumn("_lead", F.when(first, one))
     run = W.partitionBy("user_id", "segment", "_ids").orderBy("update_id").rowsBetween(W.unboundedPreceding, -1)
     log = log.withColumn("open", F.array_compact(F.array_union(F.collect_set("_lead").over(run), F.array("_last_id"))))
+    log = shared.written(log, "opened")
+    log = _listed(log, once)
     inside = _in_feed(log.where("typed and size(open) > 0"), episodes)
     log = log.join(inside, ["user_id", "update_id"], "left")
 
@@ -91,5 +103,4 @@ def with_outcomes(updates: DataFrame, feeds: DataFrame, episodes: DataFrame, chu
     picked = paging.sample(episodes, "id").select(F.lit("surprise").alias("symbol"), F.struct(F.col("id").cast("string").alias("id"), "enclosure_url", "title").alias("surprise"))
     some = feeds.limit(1).select(F.lit("trending").alias("symbol"), F.lit(True).alias("trending"))
     log = log.join(F.broadcast(picked), "symbol", "left").join(F.broadcast(some), "symbol", "left")  # a row each
-    episode = F.when(F.col("_e").isNotNull(), F.struct(F.col("_e.feed_id").alias("feed_id"), F.col("_e.enclosure_url").alias("enclosure_url"), F.col("_e.title").alias("title")))
-    return log.select("user_id", "update_id", "segment", "symbol", "typed", "payload", "n_feeds", "one_feed", "one_n", "n_global", F.coalesce("feed_n", F.lit(0)).alias("feed_n"), episode.alias("episode"), "listed", "inside", timed.alias("timed"), "surprise", F.coalesce("trending", F.lit(False)).alias("trending"))
+    return log.select("user_id", "update_id", "segment", "symbol", "typed", "payload", "n_feeds", "one_feed", "one_n", "n_global", F.coalesce("feed_n", F.lit(0)).alias("feed_n"), "episode", "listed", "inside", timed.alias("timed"), "surprise", F.coalesce("trending", F.lit(False)).alias("trending"))
