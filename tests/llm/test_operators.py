@@ -627,6 +627,36 @@ def test_latent_space_is_that_of_the_exact_decomposition(spark):
     assert np.linalg.svd(v.T @ exact)[1][:3].min() > 0.95
 
 
+def test_latent_space_is_fitted_on_all_passages(spark):
+    """More passages than a sample of 10,000, copies, short tails and texts without words: each different one is a row, no word is left out for rarity in a sample."""
+    import pyarrow as pa
+
+    rand = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rand.integers(0, 5003, 41 * 24 + i % 24)) for i in range(270)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:40], texts[0].upper(), None, "", " "])), "doc_id long, text string").repartition(5)
+    buckets = [(decontam._hashes(decontam.Words(pa.array([x], pa.large_string()))) % np.uint64(decontam.BUCKETS)).tolist() for x in texts]
+    want = {tuple(sorted(x[a : a + 24])) for x in buckets for a in range(0, len(x), 24)}
+    weight, passages = decontam.survey(docs)
+    assert passages.count() == len(want) > 11_000
+    found = [tuple(np.frombuffer(r.words, "<u2").tolist()) for r in passages.collect()]
+    assert set(found) == want
+    n = Counter(b for x in want for b in set(x))
+    assert {r.b for r in decontam._often(passages).collect()} == {b for b, k in n.items() if k >= decontam.LEAST_PASSAGES}
+    rows = decontam._weighed(weight)(pa.RecordBatch.from_arrays([pa.array([np.array(x, "<u2").tobytes() for x in found[:300]], pa.binary()), pa.array(np.full(300, 2.0))], ["words", "scale"]).slice(7))
+    matrix = np.zeros((293, decontam.BUCKETS))
+    for i, x in enumerate(found[7:300]):
+        np.add.at(matrix[i], list(x), weight[list(x)])
+        matrix[i] *= 2 / np.linalg.norm(matrix[i])
+    got = np.zeros_like(matrix)
+    got[rows[0], rows[1]] = rows[2]
+    assert np.allclose(got, matrix)
+    dense = np.random.default_rng(2).random((decontam.BUCKETS, 5)).astype(np.float32)
+    for a, b, m in ((rows[0], rows[1], matrix), (rows[1], rows[0], matrix.T), (np.zeros(293, int), np.arange(293), np.ones((1, 293)))):
+        out = np.zeros((len(m), 5), np.float32)
+        decontam._add_product(out, a, b, m[a, b], dense[: m.shape[1]])
+        assert np.allclose(out, m @ dense[: m.shape[1]], atol=1e-3)
+
+
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=9), st.lists(st.integers(0, 4), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_common_subsequence(a, b):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spread import numbered, written
-from ._words import U, Words, mix, pieces
+from ._words import U, Words, pieces
 
-#: Hash buckets of words; latent dimensions, those beyond them while they are sought, and power iterations.
+#: Hash buckets of words (a number of two bytes); latent dimensions, those beyond them while they are sought, and power iterations.
 BUCKETS, DIMENSIONS, MORE, POWERS = 1 << 16, 96, 8, 1
-#: Passages of documents on which the latent space is fitted, beside all of the benchmark's: the different ones with the least hash.
-SAMPLE = 10_000
-#: Passages that a word must stand in to have a place in the latent space, unless the benchmark has it.
+#: Different passages that a word must stand in to have a place in the latent space, unless the benchmark has it.
 LEAST_PASSAGES = 3
+#: Passages that a task multiplies, and least number of tasks: each sends a row for every word that it met.
+PER_TASK, LEAST_TASKS = 1 << 20, 4
 #: Items that are searched for at once at most, which bounds what is broadcast.
 SLICE = 10_000
 #: Words in half a passage: an item's passages have two halves and begin at every half; a text's windows are as long and begin at every STEP words.
@@ -44,48 +44,63 @@ def _hashes(w: Words) -> np.ndarray:
     return w.spans(start, end, _LOWER)
 
 
+def _packed(w: Words, bucket: np.ndarray) -> pa.Array:
+    """Each text's passages, of 2 * HALF words from its first one on (the last may be shorter): the words' buckets in order, two bytes each."""
+    n = -(-w.count // (2 * HALF))
+    passage = np.concatenate([[0], np.cumsum(n)])[w.doc] + (np.arange(len(bucket)) - w.first[w.doc]) // (2 * HALF)
+    ends = np.searchsorted(passage, np.arange(n.sum() + 1))
+    words = (np.sort(passage * BUCKETS + bucket) % BUCKETS).astype("<u2")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(words)])
+
+
+def _unpacked(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed passages: passage, bucket and number of each different word, in that order."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] // 2
+    bucket = np.frombuffer(words.buffers()[2], "<u2")[ends[0] : ends[-1]].astype(np.int64)
+    passage = np.repeat(np.arange(len(words)), np.diff(ends))
+    first = np.flatnonzero(np.diff(passage * BUCKETS + bucket, prepend=-1))
+    return passage[first], bucket[first], np.diff(np.append(first, len(bucket)))
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's texts: in how many each bucket occurs (bucket -1 counts the texts), and the SAMPLE passages with the least hash."""
-    counts = np.zeros(BUCKETS, np.int64)
-    docs, keys, words = 0, np.zeros(0, U), np.zeros((0, 2 * HALF), np.int32)
+    """Of a task's texts: all passages, and in how many texts each bucket occurs (bucket -1 counts the texts)."""
+    names = ["bucket", "n", "words"]
+    counts, docs = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         for piece in pieces(batch.column(0)):
             w = Words(piece)
             docs += len(piece)
-            h = _hashes(w)
-            bucket = (h & U(BUCKETS - 1)).astype(np.int64)
+            bucket = (_hashes(w) & U(BUCKETS - 1)).astype(np.int64)
             seen = np.unique(w.doc.astype(np.int64) * BUCKETS + bucket)
             counts += np.bincount(seen % BUCKETS, minlength=BUCKETS)
-            place = np.arange(len(h)) - w.first[w.doc]
-            first = np.flatnonzero((place % (2 * HALF) == 0) & (place + 2 * HALF <= w.count[w.doc]))
-            upto = np.concatenate([np.zeros(1, U), np.cumsum(h, dtype=U)])
-            key = mix(upto[first + 2 * HALF] - upto[first], 31) >> U(1)
-            if len(keys) == SAMPLE:
-                first, key = first[key < keys[-1]], key[key < keys[-1]]
-            keys, one = np.unique(np.concatenate([keys, key]), return_index=True)
-            words = np.concatenate([words, bucket[first[:, None] + np.arange(2 * HALF)].astype(np.int32)])[one][:SAMPLE]
-            keys = keys[:SAMPLE]
+            words = _packed(w, bucket)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), words], names)
     at = np.flatnonzero(counts)
-    none = pa.nulls(len(at) + 1, pa.int64()), pa.nulls(len(at) + 1, pa.list_(pa.int32()))
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], docs)), *none], ["bucket", "n", "key", "words"])
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * 2 * HALF, pa.int32()), pa.array(words.ravel()))
-    none = pa.nulls(len(keys), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.array(keys.view(np.int64)), lists], ["bucket", "n", "key", "words"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], docs)), pa.nulls(len(at) + 1, pa.binary())], names)
 
 
 def survey(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """Inverse document frequency of each bucket over all documents (BUCKETS + 1 rows reach the driver), and a sample of passages."""
-    found = written(docs.select(F.lower("text").alias("text")).mapInArrow(_survey, "bucket long, n long, key long, words array<int>"), "survey")
+    """Inverse document frequency of each bucket over all documents (BUCKETS + 1 rows reach the driver), and all different passages, packed."""
+    found = written(docs.select(F.lower("text").alias("text")).mapInArrow(_survey, "bucket long, n long, words binary"), "survey")
     counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS + 1)
     n[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     n, total = n[:-1], n[-1]
-    different = written(found.where("key is not null").groupBy("key").agg(F.first("words").alias("words")).withColumn("bin", F.floor(64 * F.log2(F.col("key") + 1))), "keys")
-    bins = sorted(tuple(r) for r in different.groupBy("bin").count().collect())  # some 4,000 at most
-    upto = np.cumsum([n for _, n in bins])
-    most = bins[min(int(np.searchsorted(upto, SAMPLE)), len(bins) - 1)][0] if bins else 0
-    least = different.where(F.col("bin") <= most).orderBy("key").limit(SAMPLE)
-    return np.log((total + 1) / (n + 1)) + 0.05, least.select("words")
+    return np.log((total + 1) / (n + 1)) + 0.05, written(found.where("words is not null").select("words").distinct(), "different")
+
+
+def _often(different: DataFrame) -> DataFrame:
+    """Buckets that stand in LEAST_PASSAGES of the passages."""
+
+    def count(batches):
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            n += np.bincount(_unpacked(batch.column(0))[1], minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["b", "n"])
+
+    return different.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PASSAGES).select("b")
 
 
 def _steps(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +112,7 @@ def _steps(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _passages(items: DataFrame, weight: np.ndarray) -> DataFrame:
-    """row, first word, buckets, weights (unit length) and length before that of each passage of each item, as a written table."""
+    """row, first word, buckets, weights (unit length), length before that and packed words of each passage of each item, as a written table."""
 
     def cut(texts: pa.Array) -> pa.Array:
         out = []
@@ -110,34 +125,69 @@ def _passages(items: DataFrame, weight: np.ndarray) -> DataFrame:
                     at, n = np.unique(words[a : a + 2 * HALF], return_counts=True)
                     v = n * weight[at]
                     if len(at):
-                        rows.append({"first": a, "bucket": at, "value": v / np.sqrt((v * v).sum()), "size": np.sqrt((v * v).sum())})
+                        rows.append({"first": a, "bucket": at, "value": v / np.sqrt((v * v).sum()), "size": np.sqrt((v * v).sum()), "words": np.repeat(at, n).astype("<u2").tobytes()})
                 out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("bucket", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("size", pa.float64())])))
+        return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("bucket", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("size", pa.float64()), ("words", pa.binary())])))
 
-    kind = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("bucket", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType())]))
+    kind = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("bucket", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType()), T.StructField("words", T.BinaryType())]))
     return written(items.select("row", F.explode(F.arrow_udf(cut, kind)(F.col("text"))).alias("p")).select("row", "p.*"), "passages")
 
 
-def _weighed(sample: DataFrame, weight: np.ndarray) -> DataFrame:
-    """Buckets and weights (unit length) of each passage of a sample."""
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, bucket and weight of the words of passages given as lists ``bucket`` and ``value``."""
+    bucket, value = batch.column("bucket"), batch.column("value")
+    return np.repeat(np.arange(len(bucket)), bucket.value_lengths().to_numpy()), bucket.flatten().to_numpy(), value.flatten().to_numpy()
 
-    def run(lists: pa.Array) -> pa.Array:
-        out = []
-        for x in lists.flatten().to_numpy().reshape(len(lists), -1):
-            at, n = np.unique(x, return_counts=True)
-            v = n * weight[at]
-            out.append({"bucket": at, "value": v / np.sqrt((v * v).sum())})
-        return pa.array(out, pa.struct([("bucket", pa.list_(pa.int64())), ("value", pa.list_(pa.float64()))]))
 
-    kind = T.StructType([T.StructField("bucket", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType()))])
-    return sample.select(F.arrow_udf(run, kind)(F.col("words")).alias("p")).select("p.*")
+def _weighed(weight: np.ndarray) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Reads packed ``words`` as _listed reads lists: TF-IDF vectors of length ``scale``."""
+
+    def rows(batch):
+        passage, bucket, n = _unpacked(batch.column("words"))
+        v = n * weight[bucket]
+        length = np.sqrt(np.bincount(passage, v * v, len(batch)))
+        return passage, bucket, v / length[passage] * batch.column("scale").to_numpy()[passage]
+
+    return rows
+
 
+def _add_product(out: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, dense: np.ndarray) -> None:
+    """Adds S ``dense`` to ``out``, S the sparse matrix of ``value`` at ``row`` and ``column`` (a place occurs once).
 
-def latent(passages: DataFrame, vocabulary: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    Rows of many values are multiplied as dense ones; of the others, a block's k-th values are added at once.
+    """
+    order = np.argsort(row.astype(np.uint16) if len(out) <= 1 << 16 else row, kind="stable")
+    row, column, value = row[order], column[order], value[order].astype(np.float32)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    n = np.diff(np.append(first, len(row)))
+    full, block = np.flatnonzero(n >= 128), np.empty((64, len(dense)), np.float32)
+    for k in range(0, len(full), 64):
+        some = full[k : k + 64]
+        block[:] = 0
+        for i, (at, m) in enumerate(zip(first[some].tolist(), n[some].tolist(), strict=True)):
+            block[i, column[at : at + m]] = value[at : at + m]
+        out[row[first[some]]] += block[: len(some)] @ dense
+    rest = np.flatnonzero(n < 128)
+    rest = rest[np.argsort(-n[rest], kind="stable")]
+    room = np.empty((_BLOCK, dense.shape[1]), np.float32)
+    for lo in range(0, len(rest), _BLOCK):
+        start, m = first[rest[lo : lo + _BLOCK]], n[rest[lo : lo + _BLOCK]]
+        sums = np.zeros((len(start), dense.shape[1]), np.float32)
+        for k in range(m[0]):
+            at = start[: np.searchsorted(-m, -k)] + k  # rows of more than k values
+            part = room[: len(at)]
+            np.take(dense, column[at], axis=0, out=part, mode="clip")
+            part *= value[at, None]
+            sums[: len(at)] += part
+        out[row[start]] += sums
+
+
+def latent(passages: DataFrame, vocabulary: np.ndarray, dimensions: int = DIMENSIONS, rows: Callable = _listed) -> np.ndarray:
     """Randomised SVD of the passages' TF-IDF matrix A: right singular vectors, a row for each bucket of ``vocabulary``.
 
-    Each pass has the tasks multiply their rows, A'(A M), and other tasks sum the results by blocks of buckets; M has at
-    most BUCKETS rows and dimensions + MORE columns, whatever the passages. Between passes M is made orthonormal.
+    ``rows`` gives passage, bucket and weight of the words in a batch of ``passages``. In each pass but the last the tasks
+    multiply their rows, A'(A M), in the last one (A M)'(A M), and other tasks sum the results by blocks of rows; M has at most
+    BUCKETS rows and dimensions + MORE columns, whatever the passages. Between passes M is made orthonormal.
     """
     wide = min(dimensions + MORE, len(vocabulary))
     place = np.full(BUCKETS, -1)
@@ -146,40 +196,52 @@ def latent(passages: DataFrame, vocabulary: np.ndarray, dimensions: int = DIMENS
     spark = passages.sparkSession
     names = ["block", "row", "v"]
 
-    def table(rows: np.ndarray, values: np.ndarray) -> pa.Table:
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * wide, pa.int32()), pa.array(values.astype(np.float32).ravel()))
-        return pa.table([pa.array(rows // 512), pa.array(rows), lists], names)
+    def table(row: np.ndarray, values: np.ndarray) -> pa.Table:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * wide, pa.int32()), pa.array(values.astype(np.float32).ravel()))
+        return pa.table([pa.array(row // 512), pa.array(row), lists], names)
 
-    def total(rows: pa.Table) -> pa.Table:
-        row, one = np.unique(rows["row"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(row), wide))
-        np.add.at(sums, one, rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, wide))
+    def total(parts: pa.Table) -> pa.Table:
+        row, one = np.unique(parts["row"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(row), wide), np.float32)
+        _add_product(sums, one, np.arange(len(one)), np.ones(len(one)), parts["v"].combine_chunks().flatten().to_numpy().reshape(-1, wide))
         return table(row, sums)
 
-    def times(m: np.ndarray) -> np.ndarray:
+    def summed(m: np.ndarray, task: Callable, size: int) -> np.ndarray:
         shared = spark.sparkContext.broadcast(m)
 
-        def task(batches):
-            out, used = np.zeros((len(shared.value), wide), np.float32), np.zeros(len(shared.value), bool)
+        def multiplied(batches):
             for batch in batches:
-                for b, v in zip(batch.column(0), batch.column(1), strict=True):
-                    at, x = place[b.values.to_numpy()], v.values.to_numpy().astype(np.float32)
-                    at, x = at[at >= 0], x[at >= 0]
-                    out[at] += np.outer(x, x @ shared.value[at])
-                    used[at] = True
-            rows = np.flatnonzero(used)
-            yield from table(rows, out[rows]).to_batches()
+                passage, bucket, value = rows(batch)
+                at = place[bucket]
+                passage, at, value = passage[at >= 0], at[at >= 0], value[at >= 0]
+                product = np.zeros((len(batch), wide), np.float32)
+                _add_product(product, passage, at, value, shared.value)
+                yield passage, at, value, product
 
         kind = "block long, row long, v array<float>"
-        sums = passages.select("bucket", "value").mapInArrow(task, kind).groupBy("block").applyInArrow(total, kind).toArrow()
-        out = np.zeros((len(vocabulary), wide), np.float32)
+        sums = passages.mapInArrow(lambda batches: task(multiplied(batches)), kind).groupBy("block").applyInArrow(total, kind).toArrow()
+        out = np.zeros((size, wide), np.float32)
         out[sums["row"].to_numpy()] = sums["v"].combine_chunks().flatten().to_numpy().reshape(-1, wide)
         shared.unpersist()
         return out
 
+    def words(parts):
+        out, used = np.zeros((len(vocabulary), wide), np.float32), np.zeros(len(vocabulary), bool)
+        for passage, at, value, product in parts:
+            _add_product(out, at, passage, value, product)
+            used[at] = True
+        met = np.flatnonzero(used)
+        yield from table(met, out[met]).to_batches()
+
+    def square(parts):
+        out = np.zeros((wide, wide))
+        for *_, product in parts:
+            out += product.T @ product
+        yield from table(np.arange(wide), out).to_batches()
+
     for _ in range(POWERS):
-        m = np.linalg.qr(times(m))[0]
-    value, turn = np.linalg.eigh(m.T @ times(m))
+        m = np.linalg.qr(summed(m, words, len(vocabulary)))[0]
+    value, turn = np.linalg.eigh(summed(m, square, wide))
     return m @ turn[:, np.argsort(-value)][:, : min(dimensions, wide)]
 
 
@@ -208,10 +270,10 @@ def _answer(text: str) -> str:
 def fit(docs: DataFrame, items: DataFrame) -> list[dict]:
     """What find_leaks needs, for at most SLICE items each: projected words and passages, and the items' words.
 
-    Frequencies cover all of ``docs``. The latent space is fitted on passages of documents (at most SAMPLE) and all of the
+    Frequencies cover all of ``docs``. The latent space is fitted on all different passages of documents and all of the
     benchmark's, both with the same weight, so that words that documents use alike come near each other. An item is a row of the
     benchmark: rows may share an item_id or have none, equal rows are one item, items without words are left out.
-    An empty benchmark gives no model. What comes to the driver at once is bounded by BUCKETS, SAMPLE and SLICE.
+    An empty benchmark gives no model. What comes to the driver at once is bounded by BUCKETS and SLICE.
     """
     items = items.select("item_id", F.lower("text").alias("text")).where("text is not null").distinct()
     items = written(items.withColumn("row", F.monotonically_increasing_id()), "items")
@@ -220,18 +282,16 @@ def fit(docs: DataFrame, items: DataFrame) -> list[dict]:
         return []
     items = numbered(items, [], ["row"], "number", n_items).select("item_id", "text", F.col("number").alias("row"))
     items = written(items.withColumn("slice", F.floor(F.col("row") / SLICE)), "items")
-    weight, sample = survey(docs)
+    weight, different = survey(docs)
     passages = _passages(items, weight)
-    n_passages = passages.count()
-    sample = written(_weighed(sample, weight), "sample")
-    scale = np.sqrt(max(1, sample.count()) / max(1, n_passages))
-    both = sample.union(passages.select("bucket", F.transform("value", lambda v: v * F.lit(float(scale)))))
-    both = written(both.repartition(8), "space")
-    often = sample.select(F.explode("bucket").alias("b")).groupBy("b").count().where(F.col("count") >= LEAST_PASSAGES).select("b")
-    vocabulary = np.sort(often.union(passages.select(F.explode("bucket").alias("b"))).distinct().toArrow()["b"].to_numpy())
+    n_passages, n_different = passages.count(), different.count()
+    scale = np.sqrt(max(1, n_different) / max(1, n_passages))
+    tasks = max(LEAST_TASKS, -(-n_different // PER_TASK))
+    both = different.select("words", F.lit(1.0).alias("scale")).union(passages.select("words", F.lit(float(scale)).alias("scale"))).coalesce(tasks)
+    vocabulary = np.sort(_often(different.coalesce(tasks)).union(passages.select(F.explode("bucket").alias("b"))).distinct().toArrow()["b"].to_numpy())
     if not len(vocabulary) or not n_passages:
         return []
-    basis = latent(both, vocabulary)
+    basis = latent(both, vocabulary, rows=_weighed(weight))
     place = np.zeros(BUCKETS, np.int32)
     place[vocabulary] = np.arange(1, len(vocabulary) + 1)
     project = np.concatenate([np.zeros((1, basis.shape[1])), basis * weight[vocabulary][:, None]]).astype(np.float32)
@@ -353,9 +413,10 @@ def _windows(project: np.ndarray, row: np.ndarray, known: np.ndarray, step: np.n
         at = step[mine] - lo
         lead = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         place = np.arange(len(mine)) - np.repeat(lead, np.diff(np.append(lead, len(mine))))
+        room = np.empty((len(lead), project.shape[1]), np.float32)
         for k in range(STEP):  # the k-th known word of each step: a step occurs once, so sums can be added to by index
             now = np.flatnonzero(place == k)
-            sums[at[now]] += project[row[mine[now]]]
+            sums[at[now]] += np.take(project, row[mine[now]], axis=0, out=room[: len(now)], mode="clip")
     window, square = sums[: hi - lo].copy(), squares[lo:hi].copy()
     of = np.concatenate([doc[lo:end], np.full(more, -1)])
     for k in range(1, more):
