@@ -627,6 +627,35 @@ def test_latent_space_is_that_of_the_exact_decomposition(spark):
     assert np.linalg.svd(v.T @ exact)[1][:3].min() > 0.95
 
 
+def test_latent_space_takes_little_memory_of_the_driver(spark):
+    """One matrix of BUCKETS rows and what is returned, at most a few MB besides: no copies in doubles, whatever the machine."""
+    import tracemalloc
+
+    rand = np.random.default_rng(8)
+    rows = [(sorted({*range(i * 512, i * 512 + 512), *rand.integers(0, 2000, 40).tolist()}),) for i in range(128)]
+    table = written(spark.createDataFrame(rows, "bucket array<long>").selectExpr("bucket", "transform(bucket, x -> 1D / (1 + x % 7)) as value"), "t-wide")
+    tracemalloc.start()
+    v = decontam.latent(table, np.arange(decontam.BUCKETS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(v.T @ v, np.eye(decontam.DIMENSIONS), atol=1e-3)
+    assert peak < 3 * 4 * decontam.BUCKETS * (decontam.DIMENSIONS + decontam.MORE)
+
+
+def test_columns_become_orthonormal_in_place():
+    rand = np.random.default_rng(4)
+    full = (rand.standard_normal((5000, 12)) @ np.diag(10.0 ** -np.linspace(0, 4, 12)) @ rand.standard_normal((12, 12))).astype(np.float32)
+    q, m = np.linalg.qr(full.astype(float))[0], full.copy()
+    decontam._orthonormal(m)
+    assert np.allclose(m.T @ m, np.eye(12), atol=1e-4) and np.linalg.svd(q.T @ m)[1].min() > 0.99
+    less = np.tile(full[:, :3], 2)
+    decontam._orthonormal(less)
+    assert np.allclose(np.linalg.eigvalsh(less.T @ less), [0, 0, 0, 1, 1, 1], atol=1e-3)
+    none = np.zeros((7, 2), np.float32)
+    decontam._orthonormal(none)
+    assert not none.any()
+
+
 def test_latent_space_is_fitted_on_all_passages(spark):
     """More passages than a sample of 10,000, copies, short tails and texts without words: each different one is a row, no word is left out for rarity in a sample."""
     import pyarrow as pa

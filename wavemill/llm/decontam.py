@@ -182,18 +182,40 @@ def _add_product(out: np.ndarray, row: np.ndarray, column: np.ndarray, value: np
         out[row[start]] += sums
 
 
+def _start(n: int, wide: int) -> np.ndarray:
+    """Random directions, the same in every task."""
+    out, rand = np.empty((n, wide), np.float32), np.random.default_rng(5)
+    for lo in range(0, n, _BLOCK):
+        out[lo : lo + _BLOCK] = rand.standard_normal((min(_BLOCK, n - lo), wide))
+    return out
+
+
+def _orthonormal(m: np.ndarray) -> None:
+    """Makes the columns of ``m`` orthonormal in place, by blocks of rows; directions beyond its rank become 0."""
+    for _ in range(2):  # the second time mends what rounding left
+        gram = np.zeros((m.shape[1], m.shape[1]))
+        for lo in range(0, len(m), _BLOCK):
+            rows = m[lo : lo + _BLOCK].astype(np.float64)
+            gram += rows.T @ rows
+        value, turn = np.linalg.eigh(gram)
+        least = 1e-11 * max(value[-1], 1e-300)
+        turn *= np.where(value > least, 1 / np.sqrt(np.maximum(value, least)), 0)
+        for lo in range(0, len(m), _BLOCK):
+            m[lo : lo + _BLOCK] = m[lo : lo + _BLOCK].astype(np.float64) @ turn
+
+
 def latent(passages: DataFrame, vocabulary: np.ndarray, dimensions: int = DIMENSIONS, rows: Callable = _listed) -> np.ndarray:
     """Randomised SVD of the passages' TF-IDF matrix A: right singular vectors, a row for each bucket of ``vocabulary``.
 
     ``rows`` gives passage, bucket and weight of the words in a batch of ``passages``. In each pass but the last the tasks
     multiply their rows, A'(A M), in the last one (A M)'(A M), and other tasks sum the results by blocks of rows; M has at most
-    BUCKETS rows and dimensions + MORE columns, whatever the passages. Between passes M is made orthonormal.
+    BUCKETS rows and dimensions + MORE columns, whatever the passages. The tasks make the first M, a random one; between passes
+    the driver makes M orthonormal in place: beside it, it holds what came from the tasks, then blocks of rows.
     """
     wide = min(dimensions + MORE, len(vocabulary))
     place = np.full(BUCKETS, -1)
     place[vocabulary] = np.arange(len(vocabulary))
-    m = np.linalg.qr(np.random.default_rng(5).standard_normal((len(vocabulary), wide)))[0].astype(np.float32)
-    spark = passages.sparkSession
+    n, spark = len(vocabulary), passages.sparkSession
     names = ["block", "row", "v"]
 
     def table(row: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -206,27 +228,30 @@ def latent(passages: DataFrame, vocabulary: np.ndarray, dimensions: int = DIMENS
         _add_product(sums, one, np.arange(len(one)), np.ones(len(one)), parts["v"].combine_chunks().flatten().to_numpy().reshape(-1, wide))
         return table(row, sums)
 
-    def summed(m: np.ndarray, task: Callable, size: int) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(m)
+    def summed(m: np.ndarray | None, task: Callable, size: int) -> np.ndarray:
+        shared = None if m is None else spark.sparkContext.broadcast(m)
 
         def multiplied(batches):
+            dense = _start(n, wide) if shared is None else shared.value
             for batch in batches:
                 passage, bucket, value = rows(batch)
                 at = place[bucket]
                 passage, at, value = passage[at >= 0], at[at >= 0], value[at >= 0]
                 product = np.zeros((len(batch), wide), np.float32)
-                _add_product(product, passage, at, value, shared.value)
+                _add_product(product, passage, at, value, dense)
                 yield passage, at, value, product
 
         kind = "block long, row long, v array<float>"
         sums = passages.mapInArrow(lambda batches: task(multiplied(batches)), kind).groupBy("block").applyInArrow(total, kind).toArrow()
         out = np.zeros((size, wide), np.float32)
-        out[sums["row"].to_numpy()] = sums["v"].combine_chunks().flatten().to_numpy().reshape(-1, wide)
-        shared.unpersist()
+        for part in sums.to_batches():
+            out[part.column("row").to_numpy()] = part.column("v").flatten().to_numpy().reshape(-1, wide)
+        if shared is not None:
+            shared.destroy()
         return out
 
     def words(parts):
-        out, used = np.zeros((len(vocabulary), wide), np.float32), np.zeros(len(vocabulary), bool)
+        out, used = np.zeros((n, wide), np.float32), np.zeros(n, bool)
         for passage, at, value, product in parts:
             _add_product(out, at, passage, value, product)
             used[at] = True
@@ -239,10 +264,12 @@ def latent(passages: DataFrame, vocabulary: np.ndarray, dimensions: int = DIMENS
             out += product.T @ product
         yield from table(np.arange(wide), out).to_batches()
 
+    m = None
     for _ in range(POWERS):
-        m = np.linalg.qr(summed(m, words, len(vocabulary)))[0]
+        m = summed(m, words, n)
+        _orthonormal(m)
     value, turn = np.linalg.eigh(summed(m, square, wide))
-    return m @ turn[:, np.argsort(-value)][:, : min(dimensions, wide)]
+    return m @ turn[:, np.argsort(-value)[: min(dimensions, wide)]]
 
 
 def common(item: list[int], words: list[int]) -> int:
@@ -294,7 +321,8 @@ def fit(docs: DataFrame, items: DataFrame) -> list[dict]:
     basis = latent(both, vocabulary, rows=_weighed(weight))
     place = np.zeros(BUCKETS, np.int32)
     place[vocabulary] = np.arange(1, len(vocabulary) + 1)
-    project = np.concatenate([np.zeros((1, basis.shape[1])), basis * weight[vocabulary][:, None]]).astype(np.float32)
+    project = np.zeros((len(vocabulary) + 1, basis.shape[1]), np.float32)
+    np.multiply(basis, weight[vocabulary][:, None], out=project[1:], casting="same_kind")
     squares = (weight * weight).astype(np.float32)
     models = []
     for k in range(-(-n_items // SLICE)):
@@ -318,7 +346,7 @@ def fit(docs: DataFrame, items: DataFrame) -> list[dict]:
         mask = np.zeros((len(table), _BITS // 8), np.uint8)
         for i, b in enumerate(table["bucket"]):
             np.bitwise_or.at(mask[i], b % _BITS // 8, (1 << (b % 8)).astype(np.uint8))
-        models.append({"place": place, "project": project, "squares": squares, "vectors": vectors, "item": item, "first": table["first"].to_numpy(), "mask": mask, "size": size, "items": rows["item_id"].to_pylist(), "words": words, "answers": answers, "answer": (np.array([x for y in answers for x in y], U) & U(BUCKETS - 1)).astype(np.int64), "ends": ends})
+        models.append({"place": place, "project": project, "squares": squares, "vectors": vectors, "item": item, "first": table["first"].to_numpy(), "mask": mask, "size": size, "items": rows["item_id"].to_pylist(), "words": words, "answers": answers, "answer": (np.array([x for y in answers for x in y], U) & U(BUCKETS - 1)).astype(np.int64), "ends": ends, "bucket": (np.array([x for y in words for x in y], U) & U(BUCKETS - 1)).astype(np.int64), "upto": np.concatenate([[0], np.cumsum(n)])})
     return models
 
 
@@ -374,67 +402,88 @@ def _leaks_of(piece: pa.Array, model: dict) -> list[list[dict]]:
     step, first, doc = _steps(w)
     bucket = (h & U(BUCKETS - 1)).astype(np.int64)
     row = model["place"][bucket]
-    known = np.flatnonzero(row)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    places = bucket[order] * len(bucket) + order
+    words = np.zeros((len(doc), STEP), np.int32)  # of each step; 0: no word, or one without a place
+    words[step, (np.arange(len(row)) - w.first[w.doc]) % STEP] = row
     squares = np.bincount(step, model["squares"][bucket], len(doc) + 1)
+    mask = np.unpackbits(model["mask"], bitorder="little")
     best: dict[tuple[int, int], dict] = {}
     for lo in range(0, len(doc), 8 * _BLOCK):  # ranges of steps, so that a very long text takes no more memory at once
-        window, square = _windows(model["project"], row, known, step, squares, doc, lo, min(len(doc), lo + 8 * _BLOCK))
+        window, square = _windows(model["project"], words, squares, doc, lo, min(len(doc), lo + 8 * _BLOCK))
         least = COSINE * np.sqrt(square)
         some = np.flatnonzero(np.einsum("ij,ij->i", window, window) >= least * least)
         window, least, some = window[some], least[some].astype(np.float32), lo + some
         for a in range(0, len(model["vectors"]), _BLOCK):
             dot = window @ model["vectors"][a : a + _BLOCK].T
-            i, q = np.nonzero(dot >= least[:, None])
+            i, q = np.divmod(np.flatnonzero(dot >= least[:, None]), dot.shape[1])
             cosines, at, q = COSINE * dot[i, q] / np.maximum(least[i], 1e-12), some[i], a + q
             said = _answered(model, bucket, w.first, doc[at], model["item"][q])
-            enough = _shared(model, w, bucket, first, doc, at, q) >= np.where(said, COMMON_ANSWER, COMMON) * model["size"][q] - STEP / 2
-            cosines, at, q = cosines[enough], at[enough], q[enough]
+            enough = _shared(mask, w, bucket, first, doc, at, q) >= np.where(said, COMMON_ANSWER, COMMON) * model["size"][q] - STEP / 2
+            cosines, at, q, said = cosines[enough], at[enough], q[enough], said[enough]
             if not len(at):
                 continue
             order = np.lexsort((at, model["item"][q], doc[at]))
-            cosines, at, q = cosines[order], at[order], q[order]
+            cosines, at, q, said = cosines[order], at[order], q[order], said[order]
             k = model["item"][q]
             new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (doc[at[1:]] != doc[at[:-1]]) | (at[1:] - at[:-1] > 2 * HALF)]))
-            for c, e in zip(new, [*new[1:], len(at)], strict=True):  # windows of a text that are near one item, and near each other
+            ends = np.append(new[1:], len(at))
+            may = _possible(model, w, places, first, doc, at[new], at[ends - 1], k[new], said[new])
+            for c, e in zip(new[may].tolist(), ends[may].tolist(), strict=True):  # windows of a text that are near one item, and near each other
                 _confirm(best, model, h, w.first, first, doc, at[c:e], q[c:e], cosines[c:e])
     for (d, _), leak in sorted(best.items()):
         out[d].append(leak)
     return out
 
 
-def _windows(project: np.ndarray, row: np.ndarray, known: np.ndarray, step: np.ndarray, squares: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(project: np.ndarray, words: np.ndarray, squares: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Latent vectors, and squared lengths before projection, of the windows that begin at the steps ``lo`` to ``hi``."""
     more = 2 * HALF // STEP
     end = min(len(doc), hi + more - 1)
-    bounds = np.searchsorted(step, [lo, end])
-    mine = known[slice(*np.searchsorted(known, bounds))]
     sums = np.zeros((end - lo + more, project.shape[1]), np.float32)
-    if len(mine):
-        at = step[mine] - lo
-        lead = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        place = np.arange(len(mine)) - np.repeat(lead, np.diff(np.append(lead, len(mine))))
-        room = np.empty((len(lead), project.shape[1]), np.float32)
-        for k in range(STEP):  # the k-th known word of each step: a step occurs once, so sums can be added to by index
-            now = np.flatnonzero(place == k)
-            sums[at[now]] += np.take(project, row[mine[now]], axis=0, out=room[: len(now)], mode="clip")
+    room = np.empty((_BLOCK, project.shape[1]), np.float32)
+    for a in range(lo, end, _BLOCK):
+        n = min(_BLOCK, end - a)
+        for k in range(STEP):
+            sums[a - lo : a - lo + n] += np.take(project, words[a : a + n, k], axis=0, out=room[:n], mode="clip")
     window, square = sums[: hi - lo].copy(), squares[lo:hi].copy()
     of = np.concatenate([doc[lo:end], np.full(more, -1)])
     for k in range(1, more):
-        same = of[k : k + hi - lo] == of[: hi - lo]
-        window += sums[k : k + hi - lo] * same[:, None]
-        square += np.concatenate([squares[lo:end], np.zeros(more)])[k : k + hi - lo] * same
+        other = np.flatnonzero(of[k : k + hi - lo] != of[: hi - lo])  # few: the last windows of each text
+        ended = window[other]
+        window += sums[k : k + hi - lo]
+        window[other] = ended
+        part = np.concatenate([squares[lo:end], np.zeros(more)])[k : k + hi - lo]
+        part[other] = 0
+        square += part
     return window, square
 
 
-def _shared(model: dict, w: Words, bucket: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _possible(model: dict, w: Words, places: np.ndarray, first: np.ndarray, doc: np.ndarray, begin: np.ndarray, last: np.ndarray, items: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Runs of windows, from step ``begin`` to step ``last``, around which enough of the item's words stand for _confirm, told apart by bucket.
+
+    places: bucket * number of words + place of every word, in order. said: whether the answer's words stand in the text.
+    """
+    d, total = doc[begin], len(w.start)
+    n = model["upto"][items + 1] - model["upto"][items]
+    lo = np.maximum(w.first[d], w.first[d] + (begin - first[d]) * STEP - n)
+    hi = np.minimum(w.first[d + 1], w.first[d] + (last - first[d]) * STEP + 2 * HALF + n)
+    run = np.repeat(np.arange(len(items)), n)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + model["upto"][items][run]
+    key = model["bucket"][at] * total
+    found = np.append(places, BUCKETS * total)[np.searchsorted(places, key + lo[run])] < key + hi[run]
+    share = np.where(said, np.where(np.diff(model["ends"])[items] >= ANSWER_WORDS, COMMON_ANSWER, COMMON_SHORT), COMMON)
+    return np.bincount(run, found, len(items)) >= np.minimum(share * n, QUOTED) - 1e-9
+
+
+def _shared(mask: np.ndarray, w: Words, bucket: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
     """How many words of each window stand in its passage too, at least: words are told apart by _BITS bits."""
     n = np.zeros(len(at), np.int32)
     start = w.first[doc[at]] + (at - first[doc[at]]) * STEP
-    end = w.first[doc[at] + 1]
+    inside = w.first[doc[at] + 1] - start
+    bit, row = np.append(bucket % _BITS, np.zeros(2 * HALF, np.int64)), q * _BITS
     for k in range(2 * HALF):
-        inside = start + k < end
-        b = bucket[np.minimum(start + k, len(bucket) - 1)] % _BITS
-        n += inside & (model["mask"][q, b // 8] >> (b % 8).astype(np.uint8) & 1).astype(bool)
+        n += mask[row + bit[start + k]] & (inside > k)
     return n
 
 
