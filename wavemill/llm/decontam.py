@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,18 +39,32 @@ _TRIM[list(b".,;:!?\"'()[]*#$%&|<>")] = True
 def _hashes(w: Words) -> np.ndarray:
     """Of each word, A-Z lower-cased, without marks at its ends (up to four on either side; a word of marks alone is one)."""
     start, end = w.start.copy(), w.end.copy()
-    for _ in range(4):
-        end -= _TRIM[w.data[end - 1]] & (end - 1 > start) if len(end) else 0
-        start += _TRIM[w.data[start]] & (end - 1 > start) if len(start) else 0
+    last, head = np.flatnonzero(_TRIM[w.data[end - 1]]), np.flatnonzero(_TRIM[w.data[start]])
+    for _ in range(4):  # words without a mark are looked at once
+        last = last[_TRIM[w.data[end[last] - 1]] & (end[last] - 1 > start[last])]
+        end[last] -= 1
+        head = head[_TRIM[w.data[start[head]]] & (end[head] - 1 > start[head])]
+        start[head] += 1
     return w.spans(start, end, _LOWER)
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    """Texts in lower case. Arrow takes characters one at a time; texts in which İ becomes two, or a last Σ becomes ς, and bytes that are no UTF-8 are left to Python."""
+    try:
+        if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in "İΣ"):
+            return pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        pass
+    texts = pa.array([None if x is None else x.decode("utf-8", "replace").lower() for x in texts.cast(pa.large_binary()).to_pylist()], texts.type)
+    return pc.utf8_lower(texts)  # letters that only Arrow knows
+
+
 def _packed(w: Words, bucket: np.ndarray) -> pa.Array:
     """Each text's passages, of 2 * HALF words from its first one on (the last may be shorter): the words' buckets in order, two bytes each."""
     n = -(-w.count // (2 * HALF))
     passage = np.concatenate([[0], np.cumsum(n)])[w.doc] + (np.arange(len(bucket)) - w.first[w.doc]) // (2 * HALF)
     ends = np.searchsorted(passage, np.arange(n.sum() + 1))
-    words = (np.sort(passage * BUCKETS + bucket) % BUCKETS).astype("<u2")
+    words = (np.sort(passage * BUCKETS + bucket) & (BUCKETS - 1)).astype("<u2")
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(words)])
 
 
@@ -57,10 +72,11 @@ def _unpacked(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of packed passages: passage, bucket and number of each different word, in that order."""
     words = words.cast(pa.large_binary())
     ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] // 2
-    bucket = np.frombuffer(words.buffers()[2], "<u2")[ends[0] : ends[-1]].astype(np.int64)
-    passage = np.repeat(np.arange(len(words)), np.diff(ends))
-    first = np.flatnonzero(np.diff(passage * BUCKETS + bucket, prepend=-1))
-    return passage[first], bucket[first], np.diff(np.append(first, len(bucket)))
+    bucket, ends = np.frombuffer(words.buffers()[2], "<u2")[ends[0] : ends[-1]], ends - ends[0]
+    new = np.append(True, bucket[1:] != bucket[:-1])
+    new[ends[:-1][ends[:-1] < len(bucket)]] = True
+    first = np.flatnonzero(new[: len(bucket)])
+    return np.repeat(np.arange(len(words)), np.diff(ends))[first], bucket[first].astype(np.int64), np.diff(np.append(first, len(bucket)))
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +85,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, docs = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         for piece in pieces(batch.column(0)):
-            w = Words(piece)
+            w = Words(_lower(piece))
             docs += len(piece)
             bucket = (_hashes(w) & U(BUCKETS - 1)).astype(np.int64)
-            seen = np.unique(w.doc.astype(np.int64) * BUCKETS + bucket)
-            counts += np.bincount(seen % BUCKETS, minlength=BUCKETS)
+            seen = np.sort(w.doc * BUCKETS + bucket)
+            counts += np.bincount(seen[np.diff(seen, prepend=-1) > 0] & (BUCKETS - 1), minlength=BUCKETS)
             words = _packed(w, bucket)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), words], names)
     at = np.flatnonzero(counts)
@@ -82,7 +98,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def survey(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
     """Inverse document frequency of each bucket over all documents (BUCKETS + 1 rows reach the driver), and all different passages, packed."""
-    found = written(docs.select(F.lower("text").alias("text")).mapInArrow(_survey, "bucket long, n long, words binary"), "survey")
+    found = written(docs.select("text").mapInArrow(_survey, "bucket long, n long, words binary"), "survey")
     counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS + 1)
     n[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
@@ -154,10 +170,12 @@ def _weighed(weight: np.ndarray) -> Callable[[pa.RecordBatch], tuple[np.ndarray,
 def _add_product(out: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, dense: np.ndarray) -> None:
     """Adds S ``dense`` to ``out``, S the sparse matrix of ``value`` at ``row`` and ``column`` (a place occurs once).
 
-    Rows of many values are multiplied as dense ones; of the others, a block's k-th values are added at once.
+    Rows of many values are multiplied as dense ones, of the others those of equally many at once.
     """
-    order = np.argsort(row.astype(np.uint16) if len(out) <= 1 << 16 else row, kind="stable")
-    row, column, value = row[order], column[order], value[order].astype(np.float32)
+    value = value.astype(np.float32)
+    if (row[1:] < row[:-1]).any():
+        order = np.argsort(row.astype(np.uint16) if len(out) <= 1 << 16 else row, kind="stable")
+        row, column, value = row[order], column[order], value[order]
     first = np.flatnonzero(np.diff(row, prepend=-1))
     n = np.diff(np.append(first, len(row)))
     full, block = np.flatnonzero(n >= 128), np.empty((64, len(dense)), np.float32)
@@ -168,18 +186,16 @@ def _add_product(out: np.ndarray, row: np.ndarray, column: np.ndarray, value: np
             block[i, column[at : at + m]] = value[at : at + m]
         out[row[first[some]]] += block[: len(some)] @ dense
     rest = np.flatnonzero(n < 128)
-    rest = rest[np.argsort(-n[rest], kind="stable")]
-    room = np.empty((_BLOCK, dense.shape[1]), np.float32)
-    for lo in range(0, len(rest), _BLOCK):
-        start, m = first[rest[lo : lo + _BLOCK]], n[rest[lo : lo + _BLOCK]]
-        sums = np.zeros((len(start), dense.shape[1]), np.float32)
-        for k in range(m[0]):
-            at = start[: np.searchsorted(-m, -k)] + k  # rows of more than k values
+    rest = rest[np.argsort(n[rest], kind="stable")]
+    bounds = np.searchsorted(n[rest], np.arange(1, 129))
+    room = np.empty((4 * _BLOCK, dense.shape[1]), np.float32)
+    for k, begin, end in zip(range(1, 128), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for lo in range(begin, end, len(room) // k):
+            start = first[rest[lo : min(end, lo + len(room) // k)]]
+            at = (start[:, None] + np.arange(k)).ravel()
             part = room[: len(at)]
             np.take(dense, column[at], axis=0, out=part, mode="clip")
-            part *= value[at, None]
-            sums[: len(at)] += part
-        out[row[start]] += sums
+            out[row[start]] += (value[at].reshape(-1, 1, k) @ part.reshape(-1, k, part.shape[1]))[:, 0]
 
 
 def _start(n: int, wide: int) -> np.ndarray:
@@ -236,7 +252,8 @@ def latent(passages: DataFrame, vocabulary: np.ndarray, dimensions: int = DIMENS
             for batch in batches:
                 passage, bucket, value = rows(batch)
                 at = place[bucket]
-                passage, at, value = passage[at >= 0], at[at >= 0], value[at >= 0]
+                if at.min(initial=0) < 0:
+                    passage, at, value = passage[at >= 0], at[at >= 0], value[at >= 0]
                 product = np.zeros((len(batch), wide), np.float32)
                 _add_product(product, passage, at, value, dense)
                 yield passage, at, value, product
@@ -302,7 +319,7 @@ def fit(docs: DataFrame, items: DataFrame) -> list[dict]:
     benchmark: rows may share an item_id or have none, equal rows are one item, items without words are left out.
     An empty benchmark gives no model. What comes to the driver at once is bounded by BUCKETS and SLICE.
     """
-    items = items.select("item_id", F.lower("text").alias("text")).where("text is not null").distinct()
+    items = items.select("item_id", F.arrow_udf(_lower, T.StringType())("text").alias("text")).where("text is not null").distinct()
     items = written(items.withColumn("row", F.monotonically_increasing_id()), "items")
     n_items = items.count()
     if not n_items:
@@ -444,7 +461,8 @@ def _windows(project: np.ndarray, words: np.ndarray, squares: np.ndarray, doc: n
     room = np.empty((_BLOCK, project.shape[1]), np.float32)
     for a in range(lo, end, _BLOCK):
         n = min(_BLOCK, end - a)
-        for k in range(STEP):
+        np.take(project, words[a : a + n, 0], axis=0, out=sums[a - lo : a - lo + n], mode="clip")
+        for k in range(1, STEP):
             sums[a - lo : a - lo + n] += np.take(project, words[a : a + n, k], axis=0, out=room[:n], mode="clip")
     window, square = sums[: hi - lo].copy(), squares[lo:hi].copy()
     of = np.concatenate([doc[lo:end], np.full(more, -1)])
@@ -507,7 +525,7 @@ def _search(shared):
     """The leaks of a text among the items of one model."""
 
     def run(texts: pa.Array) -> pa.Array:
-        rows = [x for piece in pieces(texts) for x in _leaks_of(piece, shared.value)]
+        rows = [x for piece in pieces(texts) for x in _leaks_of(_lower(piece), shared.value)]
         return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.bool_())])))
 
     return F.arrow_udf(run, T.ArrayType(_LEAK))
@@ -525,7 +543,7 @@ def find_leaks(docs: DataFrame, models: list[dict], text: str = "text", out: str
     """
     docs = docs.withColumn(out, F.array().cast(T.ArrayType(_LEAK)))
     for k, model in enumerate(models):
-        found = _search(docs.sparkSession.sparkContext.broadcast(model))(F.lower(F.col(text)))
+        found = _search(docs.sparkSession.sparkContext.broadcast(model))(F.col(text))
         docs = docs.withColumn(out, F.concat(out, found) if k else found)
         if k + 1 < len(models):
             docs = written(docs, "searched")
